@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lyceum.llm.fingerprints import fingerprint_documents
 from lyceum.llm.line_dedup import line_dedup_digest
 from lyceum.llm.sharding import shard_documents
 
@@ -20,7 +21,11 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op6_feistel_shards)}
+def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op6_feistel_shards, op10_exact_digest)}
 
 SQL = {}
 

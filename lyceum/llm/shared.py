@@ -83,3 +83,26 @@ def heavy_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: s
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of whole texts stay small, however long single texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def place_among(value: Column, bounds: Sequence[int]) -> Column:
+    """How many of the ascending bounds are below value: a binary search over a literal array."""
+    if not bounds:
+        return F.lit(0)
+    array = F.lit(list(bounds)).cast("array<long>")
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        below = F.get(array, mid) < value
+        lo = F.when(s["lo"] >= s["hi"], s["lo"]).when(below, mid + 1).otherwise(s["lo"])
+        hi = F.when((s["lo"] >= s["hi"]) | below, s["hi"]).otherwise(mid)
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    steps = F.array(*(F.lit(k) for k in range(len(bounds).bit_length() + 1)))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
