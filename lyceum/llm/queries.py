@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lyceum.llm.fingerprints import fingerprint_documents
 from lyceum.llm.line_dedup import line_dedup_digest
+from lyceum.llm.quality import quality_digest
 from lyceum.llm.sharding import shard_documents
 from lyceum.llm.simhash import near_group_digest
 
@@ -14,6 +15,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_digest(documents(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(documents(spark, sf_dir))
 
@@ -30,7 +35,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op6_feistel_shards, op9_simhash_groups, op10_exact_digest)}
+QUERIES = {f.__name__: f for f in (op2_quality_ledger, op3_line_dedup, op6_feistel_shards, op9_simhash_groups, op10_exact_digest)}
 
 SQL = {}
 
