@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lyceum.llm.fingerprints import fingerprint_documents
 from lyceum.llm.line_dedup import line_dedup_digest
+from lyceum.llm.packing import pack_documents
 from lyceum.llm.quality import quality_digest
 from lyceum.llm.sharding import shard_documents
 from lyceum.llm.simhash import near_group_digest
@@ -27,6 +28,10 @@ def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_group_digest(documents(spark, sf_dir))
 
@@ -35,7 +40,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ledger, op3_line_dedup, op6_feistel_shards, op9_simhash_groups, op10_exact_digest)}
+QUERIES = {f.__name__: f for f in (op2_quality_ledger, op3_line_dedup, op6_feistel_shards, op7_best_fit_packing, op9_simhash_groups, op10_exact_digest)}
 
 SQL = {}
 
