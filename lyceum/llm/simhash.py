@@ -1,10 +1,13 @@
 """SimHash near-dedup by a self-join of the binary trie of fingerprints.
 
 A pair of trie nodes is followed downwards together with the number of bits in which their prefixes differ, and dropped as
-soon as that exceeds the error budget. The top of the trie is dealt out by Spark: every fingerprint is sent to the pairs of
-prefixes (its own and those within the budget), and each pair of subtries is traversed in one task with numpy, level by
-level, bounded in memory. Crowded prefixes are cut by further bits first. A task returns a spanning forest of the links it
-found, never all pairs; components come from alternating star contractions over stored edges.
+soon as that exceeds the error budget. Two fingerprints within the budget differ in at most half of it in one of their
+halves, so there are two tries, one over each order of the halves, and within a first half the budget is halved: a
+fingerprint then meets 1 + k prefixes of k bits for a budget of 2, not 1 + k + k (k - 1) / 2. The top of a trie is dealt out by
+Spark: every fingerprint is sent to the pairs of prefixes, its own and those within the budget, and each pair of subtries
+is traversed in one task with numpy, level by level, bounded in memory. Crowded prefixes are cut by further bits first. A
+task returns a spanning forest of the links it found, never all pairs; components come from alternating star contractions
+over stored edges.
 """
 
 from __future__ import annotations
@@ -101,10 +104,16 @@ class Forest:
                 self.root = flat[self.root]
 
 
+def swapped(fp: np.ndarray) -> np.ndarray:
+    """The halves of each fingerprint exchanged."""
+    half = np.uint64(BITS // 2)
+    return (fp << half) | (fp >> half)
+
+
 def linked(left: np.ndarray, right: np.ndarray, depth: int, differing: int, budget: int) -> Iterator[tuple]:
     """Index pairs (i, j) with left[i] < right[j] and at most `budget` differing bits, in chunks.
 
-    Both arrays are sorted and of one prefix of `depth` bits each; the prefixes differ in `differing` bits.
+    Of these, all whose first halves differ in at most half the budget are found, others perhaps. Both arrays are sorted and of one prefix of `depth` bits each; the prefixes differ in `differing` bits.
     """
     zeros: dict[tuple[int, int], np.ndarray] = {}
 
@@ -144,7 +153,8 @@ def linked(left: np.ndarray, right: np.ndarray, depth: int, differing: int, budg
         apart = d > 0
         parts[3] = tuple(x[apart] for x in parts[3])
         kids = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        alive = (kids[1] > kids[0]) & (kids[3] > kids[2]) & (kids[4] <= budget)
+        allowed = budget // 2 if bit < BITS // 2 else budget
+        alive = (kids[1] > kids[0]) & (kids[3] > kids[2]) & (kids[4] <= allowed)
         if alive.any():
             stack.append((bit + 1, *(x[alive] for x in kids)))
 
@@ -153,61 +163,66 @@ def links(fps: DataFrame, budget: int = 2, node: int = NODE) -> DataFrame:
     """(a, b): a spanning forest, task by task, of the pairs of distinct fingerprints `fp` within the budget."""
     n = fps.count()
     top = max(0, min(BITS // 2, (max(1, n) // node).bit_length()))
-    shift = np.uint64(BITS - top)
-    crowded: dict[int, int] = {}
+    crowded: dict[tuple[int, int], int] = {}
     if top:
-        prefix = F.shiftrightunsigned("fp", BITS - top)
         bound = max(node, n // CROWDED_PARTS)
-        counts = fps.groupBy(prefix.alias("p")).count().where(F.col("count") > bound)
-        crowded = {r["p"]: min(BITS - top, (r["count"] // bound).bit_length()) for r in counts.collect()}
-    base = np.array(masks(top, budget), np.uint64)
+        halves = F.array(F.col("fp"), F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)))
+        sides = fps.select(F.posexplode(halves).alias("side", "v"))
+        counts = sides.groupBy("side", F.shiftrightunsigned("v", BITS - top).alias("p")).count()
+        for r in counts.where(F.col("count") > bound).collect():
+            crowded[r["side"], r["p"]] = min(BITS // 2 - top, (r["count"] // bound).bit_length())
+    base = np.array(masks(top, budget // 2), np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            home = fp >> shift if top else np.zeros_like(fp)
-            for mask in base:
-                other = home ^ mask
-                more = np.zeros(len(fp), np.int64)
-                for p, extra in crowded.items():
-                    more[(home == np.uint64(p)) | (other == np.uint64(p))] = np.maximum(
-                        more[(home == np.uint64(p)) | (other == np.uint64(p))], extra
+            for side, values in enumerate((fp, swapped(fp))):
+                yield from deal_side(side, values)
+
+    def deal_side(side: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        home = values >> np.uint64(BITS - top) if top else np.zeros_like(values)
+        hot = [(np.uint64(p), extra) for (s, p), extra in crowded.items() if s == side]
+        for mask in base:
+            more = np.zeros(len(values), np.int64)
+            for p, extra in hot:
+                at = (home == p) | (home == p ^ mask)
+                more[at] = np.maximum(more[at], extra)
+            left = budget // 2 - int(np.bitwise_count(mask))
+            for extra in np.unique(more).tolist():
+                rows = values[more == extra]
+                depth = top + extra
+                own = rows >> np.uint64(BITS - depth) if depth else np.zeros_like(rows)
+                for low in masks(extra, left):
+                    near = own ^ ((mask << np.uint64(extra)) | np.uint64(low))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(rows), side * BITS + depth, np.int32)),
+                            pa.array(np.minimum(own, near).view(np.int64)),
+                            pa.array(np.maximum(own, near).view(np.int64)),
+                            pa.array(rows.view(np.int64)),
+                        ],
+                        ["level", "lo", "hi", "v"],
                     )
-                left = budget - int(np.bitwise_count(mask))
-                for extra in np.unique(more):
-                    rows = more == extra
-                    depth = top + int(extra)
-                    own = fp[rows] >> np.uint64(BITS - depth) if depth else np.zeros(int(rows.sum()), np.uint64)
-                    for low in masks(int(extra), left):
-                        near = own ^ ((mask << np.uint64(extra)) | np.uint64(low))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(own), depth, np.int32)),
-                                pa.array(np.minimum(own, near).view(np.int64)),
-                                pa.array(np.maximum(own, near).view(np.int64)),
-                                pa.array(fp[rows].view(np.int64)),
-                            ],
-                            ["depth", "lo", "hi", "fp"],
-                        )
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        depth, lo, hi = (int(k) for k in key)
-        fp = np.sort(rows["fp"].to_numpy().view(np.uint64))
-        if lo == hi:
-            left = right = fp
-        else:
-            side = (fp >> np.uint64(BITS - depth)) == np.uint64(lo)
-            left, right = fp[side], fp[~side]
-        both = fp if lo == hi else np.concatenate([left, right])
-        behind = 0 if lo == hi else len(left)
+        level, lo, hi = (int(k) for k in key)
+        side, depth = divmod(level, BITS)
+        values = np.sort(rows["v"].to_numpy().view(np.uint64))
+        left = right = both = values
+        behind = 0
+        if lo != hi:
+            first = (values >> np.uint64(BITS - depth)) == np.uint64(lo)
+            left, right = values[first], values[~first]
+            both, behind = np.concatenate([left, right]), len(left)
         forest = Forest(len(both))
         for i, j in linked(left, right, depth, (lo ^ hi).bit_count(), budget):
             forest.add(i, j + behind)
         at = np.array(forest.edges, np.int64).reshape(-1, 2)
+        both = swapped(both) if side else both
         return pd.DataFrame({"a": both[at[:, 0]].view(np.int64), "b": both[at[:, 1]].view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "depth int, lo long, hi long, fp long")
-    return dealt.groupBy("depth", "lo", "hi").applyInPandas(join, "a long, b long")
+    dealt = fps.select("fp").mapInArrow(deal, "level int, lo long, hi long, v long")
+    return dealt.groupBy("level", "lo", "hi").applyInPandas(join, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
