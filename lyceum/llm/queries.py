@@ -10,6 +10,7 @@ from lyceum.llm.packing import pack_documents
 from lyceum.llm.quality import quality_digest
 from lyceum.llm.sharding import shard_documents
 from lyceum.llm.simhash import near_group_digest
+from lyceum.llm.toxicity import toxicity_digest
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(documents(spark, sf_dir))
 
 
+def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
@@ -40,7 +45,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ledger, op3_line_dedup, op6_feistel_shards, op7_best_fit_packing, op9_simhash_groups, op10_exact_digest)}
+QUERIES = {f.__name__: f for f in (op2_quality_ledger, op3_line_dedup, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op9_simhash_groups, op10_exact_digest)}
 
 SQL = {}
 
