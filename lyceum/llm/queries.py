@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lyceum.llm.fingerprints import fingerprint_documents
 from lyceum.llm.line_dedup import line_dedup_digest
 from lyceum.llm.packing import pack_documents
+from lyceum.llm.pii import pseudonym_digest
 from lyceum.llm.quality import quality_digest
 from lyceum.llm.sharding import shard_documents
 from lyceum.llm.simhash import near_group_digest
@@ -37,6 +38,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonym_digest(documents(spark, sf_dir))
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_group_digest(documents(spark, sf_dir))
 
@@ -45,7 +50,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ledger, op3_line_dedup, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op9_simhash_groups, op10_exact_digest)}
+QUERIES = {f.__name__: f for f in (op2_quality_ledger, op3_line_dedup, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest)}
 
 SQL = {}
 
