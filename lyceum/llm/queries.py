@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lyceum.llm.bpe import encode_digest
 from lyceum.llm.fingerprints import fingerprint_documents
 from lyceum.llm.line_dedup import line_dedup_digest
 from lyceum.llm.packing import pack_documents
@@ -18,6 +19,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(documents(spark, sf_dir))
+
+
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_ledger, op3_line_dedup, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_ledger, op3_line_dedup, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest)}
 
 SQL = {}
 
