@@ -13,6 +13,7 @@ from lyceum.llm.quality import quality_digest
 from lyceum.llm.sharding import shard_documents
 from lyceum.llm.simhash import near_group_digest
 from lyceum.llm.toxicity import toxicity_digest
+from lyceum.llm.training_order import order_digest
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(documents(spark, sf_dir))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_digest(documents(spark, sf_dir))
+
+
 def op5_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -55,7 +60,7 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_ledger, op3_line_dedup, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_ledger, op3_line_dedup, op4_training_order, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest)}
 
 SQL = {}
 
