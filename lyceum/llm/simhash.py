@@ -1,13 +1,13 @@
-"""SimHash near-dedup by a self-join of the binary trie of fingerprints.
+"""SimHash near-dedup by self-joins of binary tries of fingerprints.
 
 A pair of trie nodes is followed downwards together with the number of bits in which their prefixes differ, and dropped as
-soon as that exceeds the error budget. Two fingerprints within the budget differ in at most half of it in one of their
-halves, so there are two tries, one over each order of the halves, and within a first half the budget is halved: a
-fingerprint then meets 1 + k prefixes of k bits for a budget of 2, not 1 + k + k (k - 1) / 2. The top of a trie is dealt out by
-Spark: every fingerprint is sent to the pairs of prefixes, its own and those within the budget, and each pair of subtries
-is traversed in one task with numpy, level by level, bounded in memory. Crowded prefixes are cut by further bits first. A
-task returns a spanning forest of the links it found, never all pairs; components come from alternating star contractions
-over stored edges.
+soon as that exceeds the error budget. Two fingerprints within a budget B differ in at most B div m bits in one of m equal
+parts, so there are m tries, each with another part first, and within a first part only B div m errors are allowed: for B = 2
+and m = 2 a fingerprint meets 1 + k prefixes of k bits, not 1 + k + k (k - 1) / 2. The top of a trie is dealt out by Spark: every
+fingerprint is sent to the pairs of prefixes, its own and those within the budget, and each pair of subtries is traversed
+in one task with numpy, level by level, in bounded memory. Crowded prefixes are cut by further bits first. A task returns a
+spanning forest of the links it found, never all pairs, and passes over node pairs that are in one tree already; components
+come from alternating star contractions over stored edges.
 """
 
 from __future__ import annotations
@@ -34,38 +34,43 @@ CHUNK, SMALL = 1 << 17, 64
 VOTES = 1 << 16
 
 
-def simhash(text: str, width: int = 3) -> int:
-    """Majority bits over the XXH64 (seed 42) of all word shingles; 0 without words. A-Z are lower-cased."""
+def simhash(text: str, width: int = 3, seed: int = 42) -> int:
+    """Majority bits over the XXH64 of all word shingles; 0 without words. A-Z are lower-cased."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
     hash64 = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return hash64(joined, 42)
+        return hash64(joined, seed)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - width + 1].tolist()
     ends = ends[width - 1 :].tolist()
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(starts), VOTES):
-        part = [hash64(joined[a:b], 42) for a, b in zip(starts[at : at + VOTES], ends[at : at + VOTES], strict=True)]
+        part = [hash64(joined[a:b], seed) for a, b in zip(starts[at : at + VOTES], ends[at : at + VOTES], strict=True)]
         rows = np.array(part, "<u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. A null text counts as empty."""
+def fingerprints(docs: DataFrame, width: int = 3, wide: bool = False) -> DataFrame:
+    """(doc_id, fp, more) as signed longs; more is a second fingerprint (seed 43), 0 if not wanted. A null text is empty."""
     small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([simhash(t, width) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+            texts = batch.column("text").to_pylist()
+            marks = np.array([simhash(t, width) for t in texts], np.uint64)
+            second = np.array([simhash(t, width, 43) if wide else 0 for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(marks.view(np.int64)), pa.array(second.view(np.int64))],
+                ["doc_id", "fp", "more"],
+            )
 
     slim = narrow(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
-    return slim.mapInArrow(score, "doc_id long, fp long")
+    return slim.mapInArrow(score, "doc_id long, fp long, more long")
 
 
 def masks(bits: int, budget: int) -> list[int]:
@@ -104,17 +109,25 @@ class Forest:
                 self.root = flat[self.root]
 
 
-def swapped(fp: np.ndarray) -> np.ndarray:
-    """The halves of each fingerprint exchanged."""
-    half = np.uint64(BITS // 2)
-    return (fp << half) | (fp >> half)
+def turned(fp: np.ndarray, by: int) -> np.ndarray:
+    """Each fingerprint rotated to the left, so that its bits from `by` on come first."""
+    return (fp << np.uint64(by)) | (fp >> np.uint64(BITS - by)) if by else fp
 
 
-def linked(left: np.ndarray, right: np.ndarray, depth: int, differing: int, budget: int) -> Iterator[tuple]:
-    """Index pairs (i, j) with left[i] < right[j] and at most `budget` differing bits, in chunks.
+def linked(
+    left: np.ndarray, right: np.ndarray | None, depth: int, differing: int, budget: int, parts: int = 2, forest: Forest | None = None
+) -> Iterator[tuple]:
+    """Index pairs (i, j) of left and right with at most `budget` differing bits, in chunks; of left alone with i < j if
+    right is None.
 
-    Of these, all whose first halves differ in at most half the budget are found, others perhaps. Both arrays are sorted and of one prefix of `depth` bits each; the prefixes differ in `differing` bits.
+    All pairs are found whose first parts differ in at most budget div parts bits, others perhaps. The arrays are sorted,
+    each of one prefix of `depth` bits; these prefixes differ in `differing` bits. Node pairs inside one tree of the
+    forest (over left, then right) are passed over.
     """
+    alone = right is None
+    right = left if alone else right
+    behind = 0 if alone else len(left)
+    first, allowed = BITS // parts, budget // parts
     zeros: dict[tuple[int, int], np.ndarray] = {}
 
     def middle(side: int, bit: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -125,22 +138,36 @@ def linked(left: np.ndarray, right: np.ndarray, depth: int, differing: int, budg
         count = zeros[side, bit]
         return lo + count[hi] - count[lo]
 
+    def joined(a0, a1, b0, b1) -> np.ndarray:
+        """Where both nodes lie in one tree."""
+        run = np.concatenate([[0], np.cumsum(forest.root[1:] != forest.root[:-1])])
+        b0, b1 = b0 + behind, b1 + behind
+        return (run[a0] == run[a1 - 1]) & (run[b0] == run[b1 - 1]) & (forest.root[a0] == forest.root[b0])
+
     one = lambda x: np.array([x], np.int64)
     stack = [(depth, one(0), one(len(left)), one(0), one(len(right)), one(differing))]
+    if not len(left) or not len(right):
+        return
     while stack:
-        bit, a0, a1, b0, b1, d = stack.pop()
-        if len(a0) > CHUNK:
-            half = len(a0) // 2
-            stack += [(bit, *(x[s] for x in (a0, a1, b0, b1, d))) for s in (slice(half), slice(half, None))]
+        bit, *node = stack.pop()
+        if len(node[0]) > CHUNK:
+            half = len(node[0]) // 2
+            stack += [(bit, *(x[s] for x in node)) for s in (slice(half, None), slice(half))]
             continue
+        if forest is not None and forest.edges:
+            open_ = ~joined(*node[:4])
+            node = [x[open_] for x in node]
+        a0, a1, b0, b1, d = node
         leaf = ((a1 - a0) * (b1 - b0) <= SMALL) | (bit >= BITS)
         if leaf.any():
             na, nb = (a1 - a0)[leaf], (b1 - b0)[leaf]
             size = na * nb
-            node = np.repeat(np.arange(len(size)), size)
-            within = np.arange(len(node)) - np.repeat(np.cumsum(size) - size, size)
-            i, j = a0[leaf][node] + within // nb[node], b0[leaf][node] + within % nb[node]
-            near = (np.bitwise_count(left[i] ^ right[j]) <= budget) & (left[i] < right[j])
+            at = np.repeat(np.arange(len(size)), size)
+            within = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            i, j = a0[leaf][at] + within // nb[at], b0[leaf][at] + within % nb[at]
+            near = np.bitwise_count(left[i] ^ right[j]) <= budget
+            if alone:
+                near &= i < j
             if near.any():
                 yield i[near], j[near]
         a0, a1, b0, b1, d = (x[~leaf] for x in (a0, a1, b0, b1, d))
@@ -148,38 +175,45 @@ def linked(left: np.ndarray, right: np.ndarray, depth: int, differing: int, budg
             continue
         am, bm = middle(0, bit, a0, a1), middle(1, bit, b0, b1)
         spent = d + 1
-        parts = [(a0, am, b0, bm, d), (am, a1, bm, b1, d), (a0, am, bm, b1, spent), (am, a1, b0, bm, spent)]
-        # Where the prefixes are equal so far, a left one with a higher bit can only be larger than the right one.
-        apart = d > 0
-        parts[3] = tuple(x[apart] for x in parts[3])
-        kids = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        allowed = budget // 2 if bit < BITS // 2 else budget
-        alive = (kids[1] > kids[0]) & (kids[3] > kids[2]) & (kids[4] <= allowed)
+        kinds = [(a0, am, bm, b1, spent), (am, a1, b0, bm, spent), (a0, am, b0, bm, d), (am, a1, bm, b1, d)]
+        if alone:  # a node with itself: its higher half with its lower one is met already
+            apart = a0 != b0
+            kinds[1] = tuple(x[apart] for x in kinds[1])
+        kids = [np.concatenate(x) for x in zip(*kinds, strict=True)]
+        alive = (kids[1] > kids[0]) & (kids[3] > kids[2]) & (kids[4] <= (allowed if bit < first else budget))
         if alive.any():
             stack.append((bit + 1, *(x[alive] for x in kids)))
 
 
-def links(fps: DataFrame, budget: int = 2, node: int = NODE) -> DataFrame:
-    """(a, b): a spanning forest, task by task, of the pairs of distinct fingerprints `fp` within the budget."""
+def links(fps: DataFrame, budget: int = 2, parts: int = 2, wide: int | None = None, node: int = NODE) -> DataFrame:
+    """(a, b): a spanning forest, task by task, of the links between the rows (vertex, fp, more) of fps.
+
+    Linked are fingerprints fp within the budget; with `wide`, only if fp and more together differ in at most so many
+    bits. budget div parts errors have to fit in 64 div parts bits.
+    """
     n = fps.count()
-    top = max(0, min(BITS // 2, (max(1, n) // node).bit_length()))
+    part_bits = BITS // parts
+    top = max(0, min(part_bits, (max(1, n) // node).bit_length()))
     crowded: dict[tuple[int, int], int] = {}
     if top:
         bound = max(node, n // CROWDED_PARTS)
-        halves = F.array(F.col("fp"), F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32)))
-        sides = fps.select(F.posexplode(halves).alias("side", "v"))
+        turns = [
+            F.shiftleft("fp", k * part_bits).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * part_bits)) if k else F.col("fp")
+            for k in range(parts)
+        ]
+        sides = fps.select(F.posexplode(F.array(*turns)).alias("side", "v"))
         counts = sides.groupBy("side", F.shiftrightunsigned("v", BITS - top).alias("p")).count()
-        for r in counts.where(F.col("count") > bound).collect():
-            crowded[r["side"], r["p"]] = min(BITS // 2 - top, (r["count"] // bound).bit_length())
-    base = np.array(masks(top, budget // 2), np.uint64)
+        for r in counts.where(F.col("count") > bound).collect():  # at most parts * CROWDED_PARTS
+            crowded[r["side"], r["p"]] = min(part_bits - top, (r["count"] // bound).bit_length())
+    base = np.array(masks(top, budget // parts), np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for side, values in enumerate((fp, swapped(fp))):
-                yield from deal_side(side, values)
+            for side in range(parts):
+                yield from deal_side(side, turned(fp, side * part_bits), batch)
 
-    def deal_side(side: int, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def deal_side(side: int, values: np.ndarray, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         home = values >> np.uint64(BITS - top) if top else np.zeros_like(values)
         hot = [(np.uint64(p), extra) for (s, p), extra in crowded.items() if s == side]
         for mask in base:
@@ -187,11 +221,13 @@ def links(fps: DataFrame, budget: int = 2, node: int = NODE) -> DataFrame:
             for p, extra in hot:
                 at = (home == p) | (home == p ^ mask)
                 more[at] = np.maximum(more[at], extra)
-            left = budget // 2 - int(np.bitwise_count(mask))
+            left = budget // parts - int(np.bitwise_count(mask))
             for extra in np.unique(more).tolist():
-                rows = values[more == extra]
+                chosen = np.flatnonzero(more == extra)
                 depth = top + extra
+                rows = values[chosen]
                 own = rows >> np.uint64(BITS - depth) if depth else np.zeros_like(rows)
+                taken = batch.take(pa.array(chosen))
                 for low in masks(extra, left):
                     near = own ^ ((mask << np.uint64(extra)) | np.uint64(low))
                     yield pa.RecordBatch.from_arrays(
@@ -199,29 +235,35 @@ def links(fps: DataFrame, budget: int = 2, node: int = NODE) -> DataFrame:
                             pa.array(np.full(len(rows), side * BITS + depth, np.int32)),
                             pa.array(np.minimum(own, near).view(np.int64)),
                             pa.array(np.maximum(own, near).view(np.int64)),
-                            pa.array(rows.view(np.int64)),
+                            taken.column("vertex"), pa.array(rows.view(np.int64)), taken.column("more"),
                         ],
-                        ["level", "lo", "hi", "v"],
-                    )
+                        ["level", "lo", "hi", "vertex", "v", "more"],
+                    )
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        level, lo, hi = (int(k) for k in key)
-        side, depth = divmod(level, BITS)
-        values = np.sort(rows["v"].to_numpy().view(np.uint64))
-        left = right = both = values
-        behind = 0
+        depth, lo, hi = int(key[0]) % BITS, int(key[1]), int(key[2])
+        rows = rows.iloc[np.argsort(rows["v"].to_numpy().view(np.uint64), kind="stable")]
+        values = rows["v"].to_numpy().view(np.uint64)
+        left, right, order = values, None, np.arange(len(values))
         if lo != hi:
-            first = (values >> np.uint64(BITS - depth)) == np.uint64(lo)
-            left, right = values[first], values[~first]
-            both, behind = np.concatenate([left, right]), len(left)
-        forest = Forest(len(both))
-        for i, j in linked(left, right, depth, (lo ^ hi).bit_count(), budget):
-            forest.add(i, j + behind)
+            low = (values >> np.uint64(BITS - depth)) == np.uint64(lo)
+            left, right = values[low], values[~low]
+            order = np.concatenate([order[low], order[~low]])
+        behind = 0 if right is None else len(left)
+        vertex, more = rows["vertex"].to_numpy()[order], rows["more"].to_numpy().view(np.uint64)[order]
+        forest = Forest(len(values))
+        for i, j in linked(left, right, depth, (lo ^ hi).bit_count(), budget, parts, forest):
+            j = j + behind
+            if wide is not None:
+                both = values[order]
+                near = np.bitwise_count(both[i] ^ both[j]) + np.bitwise_count(more[i] ^ more[j]) <= wide
+                i, j = i[near], j[near]
+            forest.add(i, j)
         at = np.array(forest.edges, np.int64).reshape(-1, 2)
-        both = swapped(both) if side else both
-        return pd.DataFrame({"a": both[at[:, 0]].view(np.int64), "b": both[at[:, 1]].view(np.int64)})
+        return pd.DataFrame({"a": vertex[at[:, 0]], "b": vertex[at[:, 1]]})
 
-    dealt = fps.select("fp").mapInArrow(deal, "level int, lo long, hi long, v long")
+    schema = "level int, lo long, hi long, vertex long, v long, more long"
+    dealt = fps.select("vertex", "fp", "more").mapInArrow(deal, schema)
     return dealt.groupBy("level", "lo", "hi").applyInPandas(join, "a long, b long")
 
 
@@ -251,24 +293,26 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(b.alias("v"), b.alias("root")).distinct())
 
 
-def near_groups(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 3, budget: int = 2, parts: int = 2, wide: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs (doc_id, text).
 
-    Documents are linked if their fingerprints differ in at most `budget` bits; component_id is the smallest doc_id
-    reachable over links, itself included. Null and empty texts, and texts without words, have fingerprint 0 and are
-    linked like any other. A null doc_id names a component only if all its documents have none. An empty table gives an
-    empty result; further columns are not looked at.
+    Documents are linked if their fingerprints differ in at most `budget` bits (and, with `wide`, these and second ones
+    together in at most so many); component_id is the smallest doc_id reachable over links, itself included. Null and
+    empty texts, and texts without words, have fingerprint 0 and are linked like any other. A null doc_id names a component
+    only if all its documents have none. An empty table gives an empty result; further columns are not looked at.
     """
-    marked = stored(fingerprints(docs, width))
-    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs")))
-    roots = components(links(fps, budget))
-    linked_fps = stored(fps.join(roots.withColumnRenamed("v", "fp"), "fp"))
+    marked = stored(fingerprints(docs, width, wide is not None))
+    key = ["fp", "more"]
+    distinct = marked.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
+    fps = stored(distinct.withColumn("vertex", F.monotonically_increasing_id()))
+    roots = components(links(fps, budget, parts, wide))
+    linked_fps = stored(fps.join(roots.withColumnRenamed("v", "vertex"), "vertex"))
     least = linked_fps.groupBy("root").agg(F.min("first_doc").alias("least_doc"))
-    named = linked_fps.join(least, "root").select("fp", "least_doc")
-    table = fps.join(named, "fp", "left").select(
-        "fp", F.coalesce("least_doc", "first_doc").alias("component_id"), "n_docs"
+    named = linked_fps.join(least, "root").select("vertex", "least_doc")
+    table = fps.join(named, "vertex", "left").select(
+        *key, F.coalesce("least_doc", "first_doc").alias("component_id"), "n_docs"
     )
-    return heavy_join(marked, stored(table), ["fp"], "n_docs", "inner").select("doc_id", "fp", "component_id")
+    return heavy_join(marked, stored(table), key, "n_docs", "inner").select("doc_id", "fp", "component_id")
 
 
 def near_group_digest(docs: DataFrame) -> DataFrame:
@@ -276,8 +320,12 @@ def near_group_digest(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, width: int, budget: int) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; a repeated doc_id keeps all its rows."""
-    grouped = near_groups(docs, width, budget)
+def keep_one_of_each(docs: DataFrame, width: int = 5, budget: int = 11, parts: int = 4, wide: int = 24) -> DataFrame:
+    """The rows of docs whose doc_id is its component's smallest; a repeated doc_id keeps all its rows.
+
+    By default five-word shingles whose fingerprints of 128 bits together agree in 0.8 of the angle (24 bits at most differ, 11
+    at most in the first 64).
+    """
+    grouped = near_groups(docs, width, budget, parts, wide)
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
