@@ -1,24 +1,106 @@
+"""The pipeline against a plain version of its stages on the smallest tables."""
+
+import re
+import struct
+import zlib
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from lyceum.llm import packing
 from lyceum.llm.shared import stored
+from tests.llm.test_contracts import dedup_of, groups_of, measures_of, sha, simhash_of
 
 DATA = "/root/testdata/sf0.001"
+PRIVATE = r"\+1 \(\d{3}\) \d{3}-\d{4}|[\w.]+@[\w.]+\w|\bAKIA[A-Z0-9]{16}\b|password=\w+|\b(?:\d{1,3}\.){3}\d{1,3}\b"
 
 
-def test_stages_keep_columns_and_clean_documents(spark):
+@pytest.fixture(scope="module")
+def stages(spark):
+    """The documents before the first stage and after each."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    n = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stored(stage(spark, docs, DATA))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    kept = docs.count()
-    assert 0.5 * n < kept < n
-    assert docs.where("n_chars <> length(text)").count() == 0
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert packed.select("doc_id").distinct().count() == kept
-
-
-def test_run(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(stored(stage(spark, out[-1], DATA)))
+    return out
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.collect()}
+
+
+def good(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars, symbols, dup_lines, repeats = measures_of(text)
+    lines = sum(1 for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+    letters, upper = sum(c.isalpha() for c in text), sum(c.isupper() for c in text)
+    return not (
+        n < 20 or 100 * repeats > 30 * n or 100 * dup_lines > 50 * lines or 100 * symbols > 10 * n or 100 * upper > 60 * letters
+        or 100 * text.count("!") > 30 * n or chars < 2 * n or chars > 15 * n or 100 * letters < 50 * chars
+        or 100 * sum("0" <= c <= "9" for c in text) > 50 * chars
+        or 100 * sum(a == b for a, b in zip(words, words[1:])) > 30 * n
+    )
+
+
+def test_quality(stages):
+    before, after = texts(stages[0]), texts(stages[1])
+    assert after == {d: t for d, t in before.items() if good(t or "")}
+    assert len(after) < len(before)
+
+
+def test_line_dedup(stages):
+    before, after = texts(stages[1]), texts(stages[2])
+    assert sorted(((d, sha(t)) for d, t in after.items()), key=repr) == [(d, s) for d, _, _, s in dedup_of(list(before.items()))]
+
+
+def test_near_dedup(stages):
+    before, after = texts(stages[2]), texts(stages[3])
+    ids = list(before)
+    marks = [(simhash_of(before[d], 5, 42), simhash_of(before[d], 5, 43)) for d in ids]
+
+    def near(a, b):
+        first = (a[0] ^ b[0]).bit_count()
+        return first <= 11 and first + (a[1] ^ b[1]).bit_count() <= 24
+
+    kept = {d for d, _, group in groups_of(ids, marks, near) if d == group}
+    assert after == {d: before[d] for d in kept} and len(after) < len(before)
+
+
+def test_pseudonyms(stages):
+    before, after = texts(stages[3]), texts(stages[4])
+    assert before.keys() == after.keys()
+    changed = 0
+    for d, text in before.items():
+        private = re.findall(PRIVATE, text)
+        assert not any(p in after[d] for p in private)
+        changed += bool(private)
+        if not re.search(r"\d|@|AKIA|=|:", text):
+            assert after[d] == text
+    assert changed
+
+
+def test_packing(stages):
+    coder = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    expected = []
+    for d, text in texts(stages[4]).items():
+        ids = [*coder.encode(text, add_special_tokens=False).ids, 0]
+        parts = [ids[at : at + 2048] for at in range(0, len(ids), 2048)]
+        expected += [(d, k, k * 2048, len(p), zlib.crc32(struct.pack(f"<{len(p)}I", *p))) for k, p in enumerate(parts)]
+    out = stages[5].collect()
+    assert sorted(tuple(r)[:5] for r in out) == sorted(expected)
+    assert len({r["sequence_id"] for r in out}) == -(-sum(e[3] for e in expected) // 2048)
+
+
+def test_stages_keep_the_columns_of_documents(stages):
+    for df in stages[1:5]:
+        assert df.dtypes == stages[0].dtypes
+        assert df.where("n_chars <> length(text)").count() == 0
+
+
+def test_run(spark, stages):
+    assert corpus_pipeline.run(spark, DATA).count() == stages[5].count()
 
 
 def test_pipeline_survives_odd_rows(spark):
