@@ -29,8 +29,11 @@ BITS = 64
 NODE = 1 << 14
 #: A prefix is crowded from one part in so many of all fingerprints on: at most so many can be.
 CROWDED_PARTS = 400
-#: Node pairs handled at once, and pairs of leaves compared without going further down.
-CHUNK, SMALL = 1 << 17, 64
+#: Prefix bits that a trie is dealt by at least, for enough tasks however few fingerprints there are.
+LEAST_TOP = 5
+#: Node pairs handled at once, and pairs of leaves compared without going further down; their product, some ten long
+#: integers each, is what a task holds beside its fingerprints.
+CHUNK, SMALL = 1 << 13, 64
 VOTES = 1 << 16
 
 
@@ -193,9 +196,9 @@ def links(fps: DataFrame, budget: int = 2, parts: int = 2, wide: int | None = No
     """
     n = fps.count()
     part_bits = BITS // parts
-    top = max(0, min(part_bits, (max(1, n) // node).bit_length()))
+    top = min(part_bits, max(LEAST_TOP, (n // node).bit_length()))
     crowded: dict[tuple[int, int], int] = {}
-    if top:
+    if n > node:
         bound = max(node, n // CROWDED_PARTS)
         turns = [
             F.shiftleft("fp", k * part_bits).bitwiseOR(F.shiftrightunsigned("fp", BITS - k * part_bits)) if k else F.col("fp")
