@@ -14,11 +14,11 @@ HEAVY_PARTS = 400
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared one; a temporary one only where none is configured (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = f"file://{tempfile.gettempdir()}/lyceum-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh folder under the cluster's shared one; a temporary one only where none is configured (tests).
+
+    The setting is static in Spark, so it is read and never written here.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lyceum-checkpoints"
     return f"{base.rstrip('/')}/lyceum-{uuid.uuid4().hex}"
 
 

@@ -3,8 +3,10 @@
 import hashlib
 import re
 import struct
+import tempfile
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import public_tokenizers
 import pytest
@@ -13,6 +15,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from lyceum.llm import bpe, fingerprints, line_dedup, packing, pii, quality, sharding, simhash, training_order
+from lyceum.llm.shared import shared_dir
 from tests.llm.conftest import ROWS, rows
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -328,3 +331,12 @@ def test_exact_groups(docs):
     out = fingerprints.exact_groups(docs).collect()
     groups = {(r["doc_id"], r["group_id"], r["n_docs"]) for r in out}
     assert (5, 5, 2) in groups and {(2, 2, 3), (3, 2, 3), (8, 2, 3)} <= groups and len(out) == len(ROWS)
+
+
+def test_shared_folder_is_the_configured_one_or_a_temporary_one_where_unset():
+    def session(folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder if key == "spark.checkpoint.dir" else default))
+
+    assert shared_dir(session("hdfs://store/shared/")).startswith("hdfs://store/shared/lyceum-")
+    assert shared_dir(session(None)).startswith(f"file://{tempfile.gettempdir()}/lyceum-checkpoints/lyceum-")
+    assert shared_dir(session(None)) != shared_dir(session(None))
