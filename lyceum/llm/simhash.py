@@ -35,6 +35,8 @@ LEAST_TOP = 5
 #: integers each, is what a task holds beside its fingerprints.
 CHUNK, SMALL = 1 << 13, 64
 VOTES = 1 << 16
+#: Documents of a component whose shingle sets are compared in one task; two blocks of them where it has more.
+BLOCK = 512
 
 
 def simhash(text: str, width: int = 3, seed: int = 42) -> int:
@@ -323,12 +325,118 @@ def near_group_digest(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, width: int = 5, budget: int = 11, parts: int = 4, wide: int = 24) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; a repeated doc_id keeps all its rows.
+def shingled(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, fp, more, shingles): both fingerprints, and the distinct word shingles as sorted 32-bit hashes. A null text is
+    empty; a text without words has no shingles."""
+    small_batches(docs.sparkSession)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            marks = [np.array([simhash(t, width, seed) for t in texts], np.uint64).view(np.int64) for seed in (42, 43)]
+            sets = pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *map(pa.array, marks), sets], ["doc_id", "fp", "more", "shingles"]
+            )
+
+    slim = narrow(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
+    return slim.mapInArrow(score, "doc_id long, fp long, more long, shingles binary")
+
 
-    By default five-word shingles whose fingerprints of 128 bits together agree in 0.8 of the angle (24 bits at most differ, 11
-    at most in the first 64).
+def shingle_set(text: str, width: int) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint32)
+    last = max(1, len(words) - width + 1)
+    hash32 = xxhash.xxh32_intdigest
+    return np.unique(np.array([hash32(b" ".join(words[k : k + width])) for k in range(last)], np.uint32))
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least so many percent of their union in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    if not len(b):
+        return True
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def verified_links(members: DataFrame, budget: int, wide: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): a spanning forest, task by task, of the links between members (vertex, root, fp, more, shingles) of one root.
+
+    Linked are members whose fingerprints are within the budgets and whose shingle sets have `percent` percent of their union
+    in common. Roots of up to `block` members are compared by the bucketful; larger ones are cut into blocks, and each two
+    blocks meet in one task.
+    """
+    sizes = stored(members.groupBy("root").agg(F.count("*").alias("n")))
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
+    slim = heavy_join(members, sizes, ["root"], "n", "inner")
+    buckets = max(1, (sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // block)
+    own = F.pmod(F.xxhash64("vertex"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = slim.withColumn("own", own).withColumn("other", other).select(
+        F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"),
+        F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        "own", "vertex", "root", "fp", "more", "shingles",
+    )
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["root", "own", "vertex"], kind="stable")
+        root, own = rows["root"].to_numpy(), rows["own"].to_numpy()
+        vertex, data = rows["vertex"].to_numpy(), rows["shingles"].to_numpy()
+        fp, more = (rows[c].to_numpy().view(np.uint64) for c in ("fp", "more"))
+        found: list[tuple[int, int]] = []
+        cuts = [0, *(np.flatnonzero(root[1:] != root[:-1]) + 1).tolist(), len(root)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            sets = [np.frombuffer(x, np.uint32) for x in data[lo:hi]]
+            first, second, side = fp[lo:hi], more[lo:hi], own[lo:hi]
+            tree = np.arange(hi - lo)
+            for i in range(hi - lo - 1):
+                d = np.bitwise_count(first[i] ^ first[i + 1 :])
+                near = (d <= budget) & (d + np.bitwise_count(second[i] ^ second[i + 1 :]) <= wide)
+                if key[1] != key[2]:
+                    near &= side[i + 1 :] != side[i]
+                for j in (np.flatnonzero(near & (tree[i + 1 :] != tree[i])) + i + 1).tolist():
+                    if tree[i] != tree[j] and similar(sets[i], sets[j], percent):
+                        tree[tree == tree[j]] = tree[i]
+                        found.append((vertex[lo + i], vertex[lo + j]))
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": at[:, 0], "b": at[:, 1]})
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(join, "a long, b long")
+
+
+def similar_groups(
+    docs: DataFrame, width: int = 5, budget: int = 15, parts: int = 4, wide: int = 30, percent: int = 80, node: int = 1 << 17
+) -> DataFrame:
+    """(doc_id, component_id) for every row of docs (doc_id, text), component_id as in near_groups.
+
+    The tries only search candidates: these are joined to components, and inside each of them every two documents within the
+    budgets are linked if their shingle sets have a Jaccard similarity of `percent` percent at least (exact but for collisions of
+    32-bit hashes). Documents without words are one component.
     """
-    grouped = near_groups(docs, width, budget, parts, wide)
+    marked = shingled(docs, width).withColumn("vertex", F.monotonically_increasing_id())
+    marked = stored(marked.withColumn("set_id", F.xxhash64("shingles")))
+    key = ["fp", "more", "set_id"]
+    distinct = marked.groupBy(*key).agg(F.min("vertex").alias("vertex"), F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
+    fps = stored(distinct)
+    # vertices of one pair of fingerprints and several shingle sets meet in the trie like any others
+    roots = components(links(fps, budget, parts, wide, node)).withColumnRenamed("v", "vertex")
+    members = fps.select("vertex", "fp", "more").join(roots, "vertex").join(marked.select("vertex", "shingles"), "vertex")
+    roots = stored(components(verified_links(stored(members), budget, wide, percent)))
+    linked_fps = stored(fps.join(roots.withColumnRenamed("v", "vertex"), "vertex"))
+    least = linked_fps.groupBy("root").agg(F.min("first_doc").alias("least_doc"))
+    named = linked_fps.join(least, "root").select("vertex", "least_doc")
+    table = fps.join(named, "vertex", "left").select(*key, F.coalesce("least_doc", "first_doc").alias("component_id"), "n_docs")
+    return heavy_join(marked.select("doc_id", *key), stored(table), key, "n_docs", "inner").select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is its component's smallest in similar_groups; a repeated doc_id keeps all its rows."""
+    grouped = similar_groups(docs, width, percent=percent)
     first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
