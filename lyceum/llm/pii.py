@@ -26,9 +26,11 @@ KINDS = {
     "address": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "person_number": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))[0-9]++(?:[ -][0-9]++(?![A-Za-z]))*+",
 }
-ANY = "|".join(KINDS.values())
+#: Cards are searched between the matches of all other kinds: as whole runs of digit groups, in which new_cards finds them.
+OTHERS = "|".join(p for k, p in KINDS.items() if k != "card")
+CARD_LENGTHS = (16, 15, 13, 14, 19, 17, 18)
 
 
 def may_match(text: Column) -> Column:
@@ -98,12 +100,59 @@ def luhn(digits: Column, doubled_last: bool) -> Column:
 
 
 def new_card(value: Column) -> Column:
+    """value, which has a right check digit, permuted."""
     digits = digits_of(value)
     n = F.length(digits)
     inner = permuted_text(F.substring(digits, F.lit(2), n - 2))
     body = F.concat(F.substring(digits, 1, 1), inner)
     check = F.pmod(F.lit(10) - luhn(body, True), F.lit(10)).cast("string")
-    return F.when(luhn(digits, False) == 0, with_digits(value, F.concat(body, check))).otherwise(value)
+    return with_digits(value, F.concat(body, check))
+
+
+def new_cards(run: Column) -> Column:
+    """struct(n, new) of a run of digit groups: windows of whole groups with a right check digit are permuted, n of them.
+
+    Of the windows at a group the first of CARD_LENGTHS is taken, from left to right; a window of another length than 16
+    gives way to one of 16 that starts inside it. A run without a window stays as it is.
+    """
+    groups = F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0))
+
+    def windows(all_: Column) -> Column:
+        """For each group, struct(rank, size) of its best window, rank 99 if it has none."""
+
+        def at(_: Column, i: Column) -> Column:
+            def of(k: Column) -> Column:
+                digits = digits_of(F.array_join(F.slice(all_, i + 1, k), ""))
+                rank = F.array_position(F.lit(list(CARD_LENGTHS)), F.length(digits)).cast("int")
+                good = F.when(rank > 0, luhn(digits, False) == 0).otherwise(F.lit(False))
+                return F.struct(F.when(good, rank).otherwise(F.lit(99)).alias("rank"), k.alias("size"))
+
+            sizes = F.sequence(F.lit(1), F.least(F.lit(19), F.size(all_) - i))
+            return F.array_min(F.transform(sizes, of))
+
+        return F.transform(all_, at)
+
+    def scan(all_: Column, best: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            b = F.get(best, i)
+            inside = F.slice(best, i + 2, b["size"] - 1)
+            whole = (b["rank"] == 1) | ~F.exists(inside, lambda x: x["rank"] == 1)
+            free = (i >= s["next"]) & (b["rank"] < 99) & whole
+            card = F.transform(F.array(F.array_join(F.slice(all_, i + 1, b["size"]), "")), new_card)[0]
+            plain = F.when(i >= s["next"], F.get(all_, i)).otherwise(F.lit(""))
+            return F.struct(
+                F.when(free, i + b["size"]).otherwise(s["next"]).alias("next"),
+                (s["n"] + free.cast("int")).alias("n"),
+                F.concat(s["new"], F.when(free, card).otherwise(plain)).alias("new"),
+            )
+
+        start = F.struct(F.lit(0).alias("next"), F.lit(0).alias("n"), F.lit("").alias("new"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(all_) - 1), start, step, lambda s: F.struct(s["n"], s["new"]))
+
+    def of(all_: Column) -> Column:
+        return F.transform(F.array(windows(all_)), lambda best: scan(all_, best))[0]
+
+    return F.transform(F.array(groups), of)[0]
 
 
 def new_address(value: Column) -> Column:
@@ -175,15 +224,15 @@ def new_person_number(value: Column) -> Column:
 
 PSEUDONYMS = {
     "email": new_email, "key": new_key, "secret": new_secret, "date": new_date, "address": new_address,
-    "phone": new_phone, "person_number": new_person_number, "card": new_card,
+    "phone": new_phone, "person_number": new_person_number,
 }
 
 
 def kind_of(value: Column) -> Column:
     """The kind of a match, by its own shape."""
-    inside = {k: p.replace("(?<![0-9])", "") for k, p in KINDS.items()}
+    inside = {k: p.replace("(?<![0-9])", "") for k, p in KINDS.items() if k != "card"}
     out = F.lit(None).cast("string")
-    for kind in reversed(list(KINDS)):
+    for kind in reversed(list(inside)):
         out = F.when(value.rlike(f"^(?:{inside[kind]})$"), F.lit(kind)).otherwise(out)
     return out
 
@@ -200,6 +249,27 @@ def pseudonym(value: Column) -> Column:
     return F.transform(F.array(kind_of(value)), of)[0]
 
 
+def woven(gaps: Column, between: Column) -> Column:
+    """The gaps with what stands between them."""
+    pairs = F.zip_with(gaps, between, lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))
+    return F.concat_ws("", F.flatten(pairs))
+
+
+def with_cards(gap: Column) -> Column:
+    """struct(text, kinds): a text between other matches with its cards permuted, and a (kind, new) for each run of digits, or for
+    each card where a run has several."""
+
+    def of(found: Column) -> Column:
+        cards = F.transform(found, new_cards)
+        each = F.transform(
+            cards, lambda c: F.array_repeat(F.struct(F.lit("card").alias("kind"), c["new"].alias("new")), F.greatest(c["n"], F.lit(1)))
+        )
+        text = F.when(F.size(found) > 0, F.transform(F.array(cards), lambda c: woven(F.split(gap, KINDS["card"], -1), c["new"]))[0])
+        return F.struct(F.coalesce(text, gap).alias("text"), F.flatten(each).alias("kinds"))
+
+    return F.transform(F.array(F.regexp_extract_all(gap, F.lit(KINDS["card"]), F.lit(0))), of)[0]
+
+
 def pseudonymised(docs: DataFrame) -> DataFrame:
     """docs with `text` pseudonymised and `_pii`, the array of struct(kind, new) of its matches.
 
@@ -208,14 +278,15 @@ def pseudonymised(docs: DataFrame) -> DataFrame:
     """
     base = docs.drop("_pii")
     none = F.array().cast("array<struct<kind:string,new:string>>")
-    found = F.when(may_match(F.col("text")), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    marked = base.withColumn("_pii", F.coalesce(F.transform(found, pseudonym), none))
-    gaps = F.split("text", ANY, -1)
-    woven = F.concat_ws(
-        "",
-        F.flatten(F.zip_with(gaps, F.col("_pii")["new"], lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))),
-    )
-    text = F.when(F.size("_pii") > 0, woven).otherwise(F.col("text"))
+    searched = may_match(F.col("text"))
+    found = F.when(searched, F.regexp_extract_all("text", F.lit(OTHERS), F.lit(0)))
+    gaps = F.when(searched, F.transform(F.split("text", OTHERS, -1), with_cards))
+    marked = base.withColumn("_other", F.coalesce(F.transform(found, pseudonym), none)).withColumn("_gaps", gaps)
+    order = F.zip_with(F.col("_gaps.kinds"), "_other", lambda cards, other: F.concat(
+        cards, F.when(other.isNotNull(), F.array(other)).otherwise(none)
+    ))
+    marked = marked.withColumn("_pii", F.coalesce(F.flatten(order), none))
+    text = F.when(F.size("_pii") > 0, woven(F.col("_gaps.text"), F.col("_other.new"))).otherwise(F.col("text"))
     return marked.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in base.columns), "_pii")
 
 
