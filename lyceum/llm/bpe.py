@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.shared import narrow, small_batches, text_or_empty
+from lyceum.llm.shared import arrow_batches, narrow, text_or_empty
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Entries that a worker remembers at most, and bytes from which a word is merged by a heap.
@@ -161,11 +161,10 @@ def _mapped(docs: DataFrame, path: str | None, pattern: str | None, digest: bool
         import public_tokenizers
 
         path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
-        for batch in batches:
+        for batch in arrow_batches(batches):
             coded = [own.ids(t) for t in batch.column("text").to_pylist()]
             decoded = [own.text_bytes(c) for c in coded]
             if digest:

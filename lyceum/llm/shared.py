@@ -4,31 +4,68 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key counts as heavy from one part in so many of all rows on: at most so many keys can.
 HEAVY_PARTS = 400
+#: Rows and bytes that a Python worker turns to objects at once. Spark bounds the batches it sends by bytes itself.
+SLICE_ROWS, SLICE_BYTES = 500, 8 << 20
+
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared one; a temporary one only where none is configured (tests).
+    """A fresh folder under the one that the cluster names in spark.checkpoint.dir.
 
-    The setting is static in Spark, so it is read and never written here.
+    Where none is named, a temporary folder will do for a local master only; elsewhere that is an error, as executors and
+    driver would not see each other's files. The setting is static in Spark, so it is read and never written here.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/lyceum-checkpoints"
-    return f"{base.rstrip('/')}/lyceum-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", None) or ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share: intermediate tables are stored there")
+        base = f"file://{tempfile.gettempdir()}/lyceum-checkpoints"
+    path = f"{base.rstrip('/')}/lyceum-{uuid.uuid4().hex}"
+    _made.setdefault(base, []).append(path)
+    return path
+
+
+def stored(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
     """df written once to shared storage and read again: cuts the lineage, and survives lost executors."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that no result reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes all tables that this process has stored; for a job's end, when its results are written elsewhere."""
+    for paths in _made.values():
+        discard(spark, *paths)
+    _made.clear()
+
+
+def arrow_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE_ROWS rows and about SLICE_BYTES bytes, so that few texts are Python objects at once."""
+    for batch in batches:
+        each = max(1, batch.nbytes // max(1, batch.num_rows))
+        n = max(1, min(SLICE_ROWS, SLICE_BYTES // each))
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns of the input can't clash with made ones."""
     return docs.select(*(F.col(f"`{c}`") for c in columns))
@@ -85,11 +122,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts stay small, however long single texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def place_among(value: Column, bounds: Sequence[int]) -> Column:
     """How many of the ascending bounds are below value: a binary search over a literal array."""
     if not bounds:
