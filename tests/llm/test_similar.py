@@ -40,11 +40,20 @@ def test_most_pairs_just_above_the_similarity_are_found(spark):
     assert simhash.keep_one_of_each(df).count() <= 300 - 0.9 * 150
 
 
-@pytest.mark.parametrize("block", [4, 512])
+@pytest.mark.parametrize("block", [4000, 1 << 24])
 def test_blocks_of_a_component_meet(spark, block):
     r = random.Random(5)
     texts = family(r, 30, 15) + family(r, 1, 15)
-    rows = [(k, 0, 0, 0, bytearray(simhash.shingle_set(t, 5).tobytes())) for k, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "vertex long, root long, fp long, more long, shingles binary")
-    found = simhash.components(simhash.verified_links(df, 15, 30, 80, block))
+    sets = [simhash.shingle_set(simhash.shingle_hashes(t, 5)).tobytes() for t in texts]
+    df = spark.createDataFrame([(k, 0, 0, 0, 0, 0, bytearray(x)) for k, x in enumerate(sets)], "vertex long, root long, w0 long, w1 long, w2 long, w3 long, shingles binary")
+    found = simhash.components(simhash.verified_links(df, simhash.WIDE, 80, block))
     assert {x["v"]: x["root"] for x in found.collect()} == dict.fromkeys(range(30), 0)
+
+
+def test_many_small_subtries_find_the_same(spark):
+    r = random.Random(6)
+    texts = [t for _ in range(40) for t in family(r, 3, 12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for node in (1 << 15, 16):
+        grouped = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(df, node=node).collect()}
+        assert grouped == {k: k // 3 * 3 for k in range(120)}
