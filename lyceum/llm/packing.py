@@ -9,7 +9,6 @@ the pieces by their rank among pieces of equal length, in Spark.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.shared import narrow, numbered, small_batches, stored, text_or_empty
+from lyceum.llm.shared import arrow_batches, narrow, numbered, stored, text_or_empty
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -60,10 +59,11 @@ class WordIds(dict):
         if b"<|" not in word:
             core = word.rstrip(b"!#$%&*+,./:;=?@^_`|~-()")
             text = core.decode("utf-8", "surrogatepass")
-            if 0 < len(core) < len(word) and text[-1].isalnum():
+            lower = text.lower()
+            # A letter's lower-case form may end in a mark (that of a dotted capital I does), which joins the punctuation.
+            if 0 < len(core) < len(word) and text[-1].isalnum() and lower[-1].isalnum():
                 return self[core] + self[word[len(core) :]]
             if core == word and text and max(text) < "ɐ":
-                lower = text.lower()
                 if text.isalpha() and lower.isalpha():
                     chars = lower if lower.isascii() else "".join(self.letters[b] for b in lower.encode())
                     return array("I", [t.id for t in self.merges.tokenize(chars)]).tobytes()
@@ -82,11 +82,10 @@ _workers: dict[str, WordIds] = {}
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids, then id 0, cut only beyond the capacity."""
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _workers.get(path) or _workers.setdefault(path, WordIds(path))
-        for batch in batches:
+        for batch in arrow_batches(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = words.ids(text) + bytes(4)
@@ -130,7 +129,7 @@ def completions(room: int, stock: np.ndarray, steps: int = STEPS) -> list[tuple[
         length = int(lengths[at])
         most = min(int(stock[length]), left // length)
         todo.append((at + 1, left, taken))
-        for copies in range(max(1, most - 1), most + 1):
+        for copies in range(1, most + 1):
             todo.append((at + 1, left - copies * length, taken | {length: copies}))
     return sorted(found.items())
 
