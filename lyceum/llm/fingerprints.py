@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.shared import heavy_join, narrow, place_among, small_batches, stored, text_or_empty
+from lyceum.llm.shared import arrow_batches, heavy_join, narrow, place_among, stored, text_or_empty
 
 FIRST_ID = -(1 << 63)
 
@@ -34,36 +34,53 @@ def likeness(a: tuple[str, bytes], b: tuple[str, bytes]) -> float:
     return 1.0 if a[0] == b[0] and a[1] == b[1] else 0.0
 
 
-def with_canonical(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, folded) for each row of docs; a null text counts as empty."""
-    small_batches(docs.sparkSession)
+def with_canonical(docs: DataFrame, folded: bool = True) -> DataFrame:
+    """(doc_id, fingerprint, and if wanted the folded form) for each row of docs; a null text counts as empty."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            folded = [canonical(t) for t in batch.column("text").to_pylist()]
-            marks = [digest(f) for f in folded]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(marks, pa.string()), pa.array(folded, pa.binary())],
-                ["doc_id", "fingerprint", "folded"],
-            )
+        for batch in arrow_batches(batches):
+            forms = [canonical(t) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), pa.array(list(map(digest, forms)), pa.string()), pa.array(forms, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns[: 2 + folded], ["doc_id", "fingerprint", "folded"][: 2 + folded])
 
-    slim = docs.select("doc_id", text_or_empty().alias("text"))
-    return slim.mapInArrow(fold, "doc_id long, fingerprint string, folded binary")
+    slim = narrow(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
+    return slim.mapInArrow(fold, "doc_id long, fingerprint string" + ", folded binary" * folded)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, group_id, n_docs): documents of one canonical form, group_id being their smallest doc_id.
+    """(doc_id, fingerprint, group_id, n_docs): documents of one canonical form, group_id being their smallest doc_id. A null
+    doc_id never names a group of others."""
+    return with_groups(stored(with_canonical(docs)))
+
 
-    Copies are combined before the shuffle, and grouping by (fingerprint, folded bytes) compares the bytes inside an
-    equal bucket, so a collision of digests gives two groups. A null doc_id never names a group of others.
+def with_groups(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, fingerprint, folded, ...) with group_id and n_docs in place of folded, which is null in rows whose fingerprint
+    no other has: these are groups of their own. rows are read several times and should be stored.
+
+    Copies are combined before the shuffle, and grouping by (fingerprint, folded bytes) compares the bytes inside an equal
+    bucket, so a collision of digests gives two groups. Rows are joined with their group by the fingerprint where its bucket
+    has one form, and by the bytes where it has several.
     """
-    folded = with_canonical(docs)
-    groups = folded.groupBy("fingerprint", "folded").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs"))
-    groups = groups.withColumn("form", F.sha2("folded", 256)).drop("folded")
-    members = folded.select("doc_id", "fingerprint", F.sha2("folded", 256).alias("form"))
-    kept = stored(groups.withColumn("weight", F.col("n_docs")))
-    out = heavy_join(members, kept, ["fingerprint", "form"], "weight", "inner")
-    return out.select("doc_id", "fingerprint", "group_id", "n_docs")
+    alone = rows.where(F.col("folded").isNull()).withColumn("group_id", F.col("doc_id")).withColumn("n_docs", F.lit(1).cast("long"))
+    several = rows.where(F.col("folded").isNotNull())
+    forms = stored(several.groupBy("fingerprint", "folded").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")))
+    buckets = stored(
+        forms.groupBy("fingerprint").agg(
+            F.count("*").alias("n_forms"), F.min("group_id").alias("group_id"), F.sum("n_docs").alias("n_docs"), F.sum("n_docs").alias("weight")
+        )
+    )
+    grouped = heavy_join(several, buckets, ["fingerprint"], "weight", "inner")
+    same = grouped.where(F.col("n_forms") == 1)
+    clash = grouped.where(F.col("n_forms") > 1).drop("group_id", "n_docs").join(forms, ["fingerprint", "folded"])
+    names = [*(c for c in rows.columns if c != "folded"), "group_id", "n_docs"]
+    return alone.select(*names).unionByName(same.select(*names)).unionByName(clash.select(*names))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id): documents whose fingerprint another row has too; nothing but ids and digests is moved."""
+    marks = stored(with_canonical(docs, folded=False))
+    buckets = marks.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return heavy_join(marks, stored(buckets), ["fingerprint"], "n", "inner").select("doc_id").distinct()
 
 
 def next_text_ranges(docs: DataFrame) -> tuple[list[int], list[tuple[int, int]]]:
@@ -84,11 +101,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     Edited: the last n_chars div 4 code points give way to the first as many (or all) of the next document in ascending
     doc_id; after the last comes the first. Null texts are empty, a null doc_id stands before all others, rows of one
-    doc_id follow one another by text. One row per row of docs; an empty table gives an empty result. Texts are shuffled
-    once, by ranges of doc_id; the first document of a range is sent to the range before it as well.
+    doc_id follow one another by text. One row per row of docs; an empty table gives an empty result. group_id and n_docs are
+    the smallest doc_id and the number of all documents with the same canonical form, as in exact_groups.
+
+    Texts are shuffled once, by ranges of doc_id; the first document of a range is sent to the range before it as well. Beside
+    them go the ids of documents with copies, for only their folded forms are grouped by their bytes afterwards.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     slim = narrow(docs, "doc_id", "text")
     bounds, heads = next_text_ranges(slim)
     # The range that also needs the head of a range: the one before it, and the last for the first.
@@ -107,7 +125,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             F.when(before.isNotNull(), F.struct(before.alias("range"), F.lit(True).alias("copy"))),
         )
     )
-    dealt = slim.select("doc_id", text_or_empty().alias("text"), order.alias("_order")).select(
+    marks = copies(slim).select("doc_id", F.lit(None).cast("string").alias("text"), order.alias("_order"))
+    both = slim.select("doc_id", text_or_empty().alias("text"), order.alias("_order")).unionByName(marks)
+    dealt = both.select(
         "doc_id", "text", "_order", F.explode(homes).alias("h")
     )
     parted = (
@@ -117,36 +137,42 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double"
+        "near_edited double, near_next double, folded binary"
     )
-    return parted.select("doc_id", "text", "range", "copy").mapInArrow(_edited, schema)
+    edited = parted.select("doc_id", "text", "range", "copy").mapInArrow(_edited, schema)
+    return with_groups(stored(edited))
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order, each held until its successor in the same range is there; copies are successors only."""
-    held = None
-    for batch in batches:
+    """Rows in order, each held until its successor in the same range is there; copies are successors only. A row without a text
+    says that the documents of its id, which follow, have copies."""
+    held, several = None, None
+    for batch in arrow_batches(batches):
         out = []
         for doc_id, text, part, copy in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if text is None:
+                several = (doc_id, part)
+                continue
             folded = canonical(text)
             mark = (digest(folded), folded)
             if held and held[2] == part:
-                out.append(_row(*held[:2], held[3], text, mark))
-            held = None if copy else (doc_id, text, part, mark)
+                out.append(_row(*held[:2], held[3], text, mark, held[4]))
+            held = None if copy else (doc_id, text, part, mark, several == (doc_id, part))
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES
             )
 
 
-_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "folded"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary()]
 
 
-def _row(doc_id, text: str, mark, after: str, after_mark) -> tuple:
+def _row(doc_id, text: str, mark, after: str, after_mark, several: bool) -> tuple:
     n = len(text) // 4
     edited = text[: len(text) - n] + after[:n]
     folded = canonical(edited)
     edited_mark = (digest(folded), folded)
     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return (doc_id, len(text), sha, mark[0], edited_mark[0], likeness(mark, edited_mark), likeness(mark, after_mark))
+    near = likeness(mark, edited_mark), likeness(mark, after_mark)
+    return (doc_id, len(text), sha, mark[0], edited_mark[0], *near, mark[1] if several else None)
