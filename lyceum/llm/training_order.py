@@ -1,10 +1,11 @@
 """Training-order materialisation: token sequences in a keyed random order, in fixed-stride shards.
 
 Documents are tokenised and joined, an end mark after each, and cut into sequences of a fixed length, which are stored once
-and numbered. A keyed Feistel permutation with cycle-walking gives each number its global slot; slots are dealt out by
-ranges, and each range becomes one shard: a block of bytes in which sequence s begins at (s - first_slot) * stride. So a
-reader finds any slot by arithmetic, reads on sequentially, and resumes from a slot number alone. Shards are written by
-Spark's own committed writer, so tasks lost or repeated leave neither gaps nor doubles.
+and numbered. A keyed Feistel permutation with cycle-walking gives each number its global slot, and slot s stands in shard
+s div per_shard at place s mod per_shard. Tasks are dealt ranges of whole shards and write them in slot order, every row of
+one fixed width, in small pages: a reader finds any slot by the file's page index, without the rest of its shard, reads on
+sequentially, and resumes from a slot number alone. Shards are written by Spark's own committed writer, so tasks lost or
+repeated leave neither gaps nor doubles.
 """
 
 from __future__ import annotations
@@ -17,10 +18,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyceum.llm.bpe import RANKS, read_ranks
-from lyceum.llm.shared import narrow, shared_dir, small_batches, text_or_empty
+from lyceum.llm.shared import arrow_batches, discard, narrow, shared_dir, text_or_empty
 from lyceum.llm.sharding import permuted
 
 LENGTH, PER_SHARD, KEY = 2048, 4096, 7
+#: Bytes of a page: what a reader has to decompress for one slot.
+PAGE = 64 << 10
+#: Bytes of ids that one task writes.
+TASK_BYTES = 512 << 20
+SCHEMA = "slot long, shard int, place int, first_doc long, n_tokens int, ids binary"
 #: Fills up the last sequence of a partition; no token has it.
 PAD = 65535
 
@@ -40,7 +46,6 @@ def tokenizer(path: str, pattern: str):
 def sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH) -> DataFrame:
     """(first_doc, n_tokens, ids): ids are `length` little-endian unsigned 16-bit ids; the id after the last rank ends a
     document. Only the last sequence of a partition is filled up. A partition is read as a stream."""
-    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path, pattern)
@@ -59,7 +64,7 @@ def sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH) ->
                 ["first_doc", "n_tokens", "ids"],
             )
 
-        for batch in batches:
+        for batch in arrow_batches(batches):
             coded = [[*coder.encode_ordinary(t), end] for t in batch.column("text").to_pylist()]
             sizes = [len(c) for c in coded]
             ids = batch.column("doc_id")
@@ -82,8 +87,12 @@ def sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH) ->
 
 
 def write_shards(rows: DataFrame, path: str, key: int = KEY, per_shard: int = PER_SHARD) -> None:
-    """Writes the shards of rows (first_doc, n_tokens, ids) to path as (shard, first_slot, stride, first_docs, sizes, payload),
-    one row a shard. rows are stored and numbered first; the table of partition sizes is bounded by their count."""
+    """Writes rows (first_doc, n_tokens, ids) to path in the order of their slots, as (slot, shard, place, first_doc, n_tokens, ids).
+
+    rows are stored and numbered first; the table of partition sizes is bounded by their count. A task writes one file of
+    consecutive whole shards. There are as many tasks as shuffle partitions, whatever the number of shards, but more where
+    one would get over TASK_BYTES.
+    """
     spark = rows.sparkSession
     kept = shared_dir(spark)
     rows.withColumn("_at", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(kept)
@@ -93,54 +102,22 @@ def write_shards(rows: DataFrame, path: str, key: int = KEY, per_shard: int = PE
     before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
     n = cut.count()
+    shards = max(1, -(-n // per_shard))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * 2 * LENGTH // TASK_BYTES)
+    each = -(-shards // tasks)
     slots = cut.join(F.broadcast(starts), "_part").withColumn("slot", permuted(F.col("_start") + F.col("_in"), n, key))
     shard = F.floor(F.col("slot") / F.lit(per_shard)).cast("int")
-    ranged = (
-        slots.select(shard.alias("shard"), "slot", "first_doc", "n_tokens", "ids")
-        .repartitionById(max(1, -(-n // per_shard)), F.col("shard"))
-        .sortWithinPartitions("slot")
-    )
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task holds the slots of one shard, in order: per_shard sequences at most."""
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        ids = table["ids"].to_pylist()
-        yield pa.RecordBatch.from_pylist(
-            [
-                {
-                    "shard": table["shard"][0].as_py(), "first_slot": table["slot"][0].as_py(), "stride": len(ids[0]),
-                    "first_docs": table["first_doc"].to_pylist(), "sizes": table["n_tokens"].to_pylist(),
-                    "payload": b"".join(ids),
-                }
-            ],
-            schema=pa.schema(
-                [
-                    ("shard", pa.int32()), ("first_slot", pa.int64()), ("stride", pa.int32()),
-                    ("first_docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("payload", pa.binary()),
-                ]
-            ),
-        )
-
-    schema = "shard int, first_slot long, stride int, first_docs array<long>, sizes array<int>, payload binary"
-    ranged.mapInArrow(block, schema).write.option("compression", "zstd").parquet(path)
-
-
-def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None, per_shard: int = PER_SHARD) -> DataFrame:
-    """(slot, shard, place, first_doc, n_tokens, ids) of the slots from start up to stop, from the shards that hold them."""
-    wanted = shards.where(F.col("shard") >= start // per_shard)
-    if stop is not None:
-        wanted = wanted.where(F.col("first_slot") < stop)
-    each = wanted.select("*", F.posexplode(F.arrays_zip("first_docs", "sizes")).alias("place", "row"))
-    slot = F.col("first_slot") + F.col("place")
-    inside = slot >= start if stop is None else (slot >= start) & (slot < stop)
-    return each.where(inside).select(
-        slot.alias("slot"), "shard", "place", F.col("row.first_docs").alias("first_doc"),
-        F.col("row.sizes").alias("n_tokens"),
-        F.substring("payload", F.col("place") * F.col("stride") + 1, F.col("stride")).alias("ids"),
-    )
+    placed = slots.select("slot", shard.alias("shard"), F.pmod("slot", F.lit(per_shard)).cast("int").alias("place"), "first_doc", "n_tokens", "ids")
+    ranged = placed.repartitionById(-(-shards // each), F.floor(F.col("shard") / F.lit(each)).cast("int")).sortWithinPartitions("slot")
+    options = {"compression": "zstd", "parquet.page.size": PAGE, "parquet.enable.dictionary": "false"}
+    ranged.write.options(**options).parquet(path)
+    discard(spark, kept)
+
+
+def read_slots(shards: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+    """The rows of the slots from start up to stop; the condition reaches the scan, which skips other files and pages."""
+    inside = F.col("slot") >= start
+    return shards.where(inside if stop is None else inside & (F.col("slot") < stop))
 
 
 def materialise(docs: DataFrame, path: str | None = None, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -155,8 +132,7 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = KEY, length
     ranks = path or public_tokenizers.path(RANKS)
     out = shared_dir(docs.sparkSession)
     write_shards(sequences(docs, ranks, public_tokenizers.PATTERN, length), out, key, per_shard)
-    schema = "shard int, first_slot long, stride int, first_docs array<long>, sizes array<int>, payload binary"
-    return docs.sparkSession.read.schema(schema).parquet(out)
+    return docs.sparkSession.read.schema(SCHEMA).parquet(out)
 
 
 def order_digest(docs: DataFrame) -> DataFrame:
