@@ -1,15 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 Examples are a bounded sample of the labelled rows, SAMPLE of each class (all of them where there are fewer), taken in the
-order of a hash of doc_id; of examples that share the least hash of their five-word shingles (copies, mostly) one is kept, as
-copies would make their chance words look telling. Terms are lower-cased words and their beginnings; the vocabulary is the TERMS terms that tell the
-classes of the sample apart best (chi-square), and cosines are exact over it. The index is bounded by SAMPLE and TERMS.
+order of a hash of doc_id; of examples with one sketch (their SKETCH least hashes of five-word shingles: copies, mostly) one
+is kept, as copies would make their chance words look telling. Terms are lower-cased words and their beginnings; all terms of
+the examples are candidates. A term weighs (1 + ln tf) * idf * phi squared: idf counts all documents, and phi is the
+correlation of term and class over the examples, corrected for chance, so that a word counts as far as it tells about the
+label: words that tell no more than chance does, and those that no example holds, weigh nothing.
+
 Every document is scored. The vote of its NEAREST neighbours is turned to a probability by a logistic curve fitted on the
 leave-one-out votes of the examples, each class weighted by its share of all labelled rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -21,16 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.shared import narrow, small_batches, stored, text_or_empty
+from lyceum.llm.shared import arrow_batches, narrow, stored, text_or_empty
 
-#: Labelled rows of each class, terms of the vocabulary, neighbours that vote, examples in a block of the index.
-SAMPLE, TERMS, NEAREST, BLOCK = 1500, 1000, 15, 64
-#: Examples that must hold a term, and its least chi-square.
-LEAST_DOCS, LEAST_CHI2 = 6, 30.0
-SKETCH_WORDS = 5
+#: Labelled rows of each class, neighbours that vote, examples in a block of the index, blocks opened at once.
+SAMPLE, NEAREST, BLOCK, OPENED = 600, 15, 32, 8
+#: What a sum of weights may be off by.
+ROUNDING = 1e-6
+SKETCH, SKETCH_WORDS = 8, 5
 PREFIXES = (4, 5, 6, 7)
 FOLDS, HELD_OUT = 5, 0
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _letters = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
@@ -47,9 +51,10 @@ def terms_of(word: bytes) -> list[str]:
 
 
 def sketch(words: list[bytes]) -> int:
-    """Least hash of the shingles of SKETCH_WORDS words."""
+    """One hash of the SKETCH least hashes of the shingles of SKETCH_WORDS words."""
     last = max(1, len(words) - SKETCH_WORDS + 1)
-    return min(xxhash.xxh64_intdigest(b" ".join(words[i : i + SKETCH_WORDS])) for i in range(last)) - (1 << 63)
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + SKETCH_WORDS])) for i in range(last)}
+    return xxhash.xxh64_intdigest(repr(heapq.nsmallest(SKETCH, hashes))) - (1 << 63)
 
 
 class WordTerms(dict):
@@ -65,48 +70,71 @@ class WordTerms(dict):
         self[word] = found
         return found
 
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, ascending, and how often they occur."""
+        found = [n for word, times in Counter(words_of(text)).items() for n in self[word] * times]
+        return np.unique(np.array(found, np.int64), return_counts=True)
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start up to its end, and which of the ranges each belongs to."""
+    sizes = ends - starts
+    which = np.repeat(np.arange(len(starts)), sizes)
+    return np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[which], which
+
 
 @dataclass
 class Index:
-    """Postings sorted by (term, example), cut into blocks of examples, with the largest weight of each term and block."""
+    """Postings sorted by (term, example). Examples lie in blocks; an entry is the part of a term's postings in one block, with
+    its largest weight. A term has entries only for blocks that hold it."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    importance: np.ndarray  # of each term: idf * phi squared
     labels: np.ndarray
     doc_ids: np.ndarray
-    examples: np.ndarray
+    examples: np.ndarray  # of each posting
     weights: np.ndarray
-    cuts: np.ndarray  # [term, block]: where the postings of a term in a block begin
-    most: np.ndarray  # [term, block]: their largest weight
+    cuts: np.ndarray  # [entry]: where its postings begin
+    blocks: np.ndarray  # [entry]: its block
+    most: np.ndarray  # [entry]: its largest weight
+    entries: np.ndarray  # [term]: where its entries begin
     curve: tuple[float, float] = (0.0, 0.0)
-    without: float = 0.0  # score of texts without a term of the vocabulary
+    without: float = 0.0  # score of texts without a term that weighs anything
     cache: WordTerms | None = field(default=None, repr=False)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights (length 1) of a text."""
         if self.cache is None:
             self.cache = WordTerms(self.vocabulary)
-        counts = Counter(t for found in map(self.cache.__getitem__, words_of(text)) if found for t in found)
-        terms = np.array(sorted(counts), np.int64)
-        return terms, unit(np.array([counts[t] for t in terms.tolist()], float), self.idf[terms])
+        terms, counts = self.cache.counts(text)
+        return unit(terms, counts, self.importance)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, but: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest with a cosine over 0. A block is opened only if its bound beats the k-th."""
-        if not len(terms):
+        """(cosine, example) of the k nearest with a cosine over 0. Blocks are opened in the order of their bounds, as long as
+        these can reach the k-th cosine so far."""
+        at, which = ranges(self.entries[terms], self.entries[terms + 1])
+        if not len(at):
             return []
-        bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) >= k and bounds[block] < best[k - 1][0] - 1e-12:
+        n_blocks = -(-len(self.labels) // BLOCK)
+        own = self.blocks[at]
+        bounds = np.bincount(own, weights[which] * self.most[at], n_blocks)
+        order = np.argsort(-bounds, kind="stable")
+        scores, least = np.zeros(len(self.labels)), 0.0
+        for begin in range(0, n_blocks, OPENED):
+            if bounds[order[begin]] <= 0 or bounds[order[begin]] < least - ROUNDING:
                 break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(terms.tolist(), weights.tolist(), strict=True):
-                at, end = self.cuts[term, block], self.cuts[term, block + 1]
-                if at < end:
-                    scores[self.examples[at:end] - block * BLOCK] += weight * self.weights[at:end]
-            found = [(float(scores[i]), block * BLOCK + int(i)) for i in np.flatnonzero(scores > 0)]
-            best = sorted([*best, *(x for x in found if x[1] != but)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            now = np.zeros(n_blocks, bool)
+            now[order[begin : begin + OPENED]] = True
+            chosen = np.flatnonzero(now[own])
+            place, entry = ranges(self.cuts[at[chosen]], self.cuts[at[chosen] + 1])
+            scores += np.bincount(self.examples[place], weights[which[chosen]][entry] * self.weights[place], len(scores))
+            if but >= 0:
+                scores[but] = 0.0
+            if len(scores) > k:
+                least = np.partition(scores, -k)[-k]
+        near = np.flatnonzero((scores > 0) & (scores >= least))
+        near = near[np.lexsort((near, -scores[near]))][:k]
+        return list(zip(scores[near].tolist(), near.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of the toxic ones among the neighbours, nearer ones counting more."""
@@ -120,9 +148,20 @@ class Index:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a * self.vote(near) + b))))
 
 
-def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weights = (1 + np.log(counts)) * idf
-    return weights / max(1e-300, float(np.sqrt((weights**2).sum())))
+def unit(terms: np.ndarray, counts: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms that weigh anything and their weights, scaled to length 1."""
+    weights = (1 + np.log(counts)) * importance[terms]
+    some = weights > 0
+    return terms[some], weights[some] / max(1e-300, float(np.sqrt((weights**2).sum())))
+
+
+def importance_of(df: np.ndarray, n_docs: int, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """idf over all documents times phi squared over the examples, less what chance alone gives (1 / (n - 1), the usual correction
+    for bias); toxic and clean count the examples that hold each term."""
+    n, held = n_toxic + n_clean, toxic + clean
+    apart = (toxic * float(n_clean) - clean * float(n_toxic)) ** 2
+    phi2 = apart / np.maximum(1.0, float(n_toxic) * n_clean * held * (n - held))
+    return (np.log((1 + n_docs) / (1 + df)) + 1) * np.maximum(0.0, phi2 - 1 / max(1, n - 1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -145,7 +184,6 @@ def held_out(doc_id: str = "doc_id"):
 
 def build_index(docs: DataFrame, labels: DataFrame) -> Index | None:
     """The index over the sample of labelled rows that are not held out; None without labelled rows."""
-    small_batches(docs.sparkSession)
     known = (
         narrow(labels, "doc_id", "toxic")
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -159,10 +197,10 @@ def build_index(docs: DataFrame, labels: DataFrame) -> Index | None:
     sample = parts[0].unionByName(parts[1])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             for doc_id, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = words_of(text)
-                counts = Counter(t for word in words for t in terms_of(word))
+                counts = Counter(t for word, times in Counter(words).items() for t in terms_of(word) for _ in range(times))
                 n = len(counts) + 1  # a row without a term stands for the document itself
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -179,59 +217,89 @@ def build_index(docs: DataFrame, labels: DataFrame) -> Index | None:
     found = stored(found.groupBy("doc_id", "toxic", "sketch", "term").agg(F.sum("tf").alias("tf")))
     alone = found.where(F.col("term").isNull()).groupBy("toxic", "sketch").agg(F.min("doc_id").alias("doc_id"))
     chosen = {r["doc_id"]: r["toxic"] for r in alone.collect()}  # at most 2 * SAMPLE
+    if not chosen:
+        return None
     found = found.where(F.col("term").isNotNull()).join(F.broadcast(alone.select("doc_id")), "doc_id")
+    stats = found.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).toArrow()  # the terms of the sample
+    names = stats["term"].to_pylist()
+    vocabulary = {t: k for k, t in enumerate(names)}
+    toxic, held = (stats[c].to_numpy().astype(np.float64) for c in ("a", "n"))
+    numbers = docs.sparkSession.createDataFrame(pa.table({"term": stats["term"], "_no": pa.array(np.arange(len(names), dtype=np.int32))}))
+    postings = found.join(F.broadcast(numbers), "term").select("doc_id", "_no", F.col("tf").cast("int")).toArrow()
+    df, n_docs = document_frequencies(docs, vocabulary)
     totals = Counter(chosen.values())
-    n0, n1 = totals[0], totals[1]
-    if not n0 + n1:
-        return None
-    a, b = F.sum("toxic"), F.count("*") - F.sum("toxic")
-    stats = found.groupBy("term").agg(a.alias("a"), b.alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
-    n, with_term = float(n0 + n1), F.col("a") + F.col("b")
-    apart = F.col("a") * float(n0) - F.col("b") * float(n1)
-    chi2 = F.lit(n) * apart * apart / (float(max(1, n0)) * float(max(1, n1)) * with_term * (F.lit(n) - with_term + 0.5))
-    terms = stats.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
-    vocabulary_rows = terms.collect()
-    vocabulary = {r["term"]: k for k, r in enumerate(vocabulary_rows)}
-    idf = np.array([math.log((1 + n) / (1 + r["a"] + r["b"])) + 1 for r in vocabulary_rows])
-    postings = found.join(F.broadcast(terms.select("term")), "term").select("doc_id", "term", "tf").collect()
-    return _indexed(chosen, shares, vocabulary, idf, [(r["doc_id"], vocabulary[r["term"]], r["tf"]) for r in postings])
-
-
-def _indexed(chosen, shares, vocabulary, idf, postings) -> Index:
-    vectors: dict[int, dict[int, int]] = {d: {} for d in chosen}
-    for doc_id, term, tf in postings:
-        vectors[doc_id][term] = tf
-    unit_vectors = {}
-    for doc_id, counts in vectors.items():
-        terms = np.array(sorted(counts), np.int64)
-        unit_vectors[doc_id] = (terms, unit(np.array([counts[t] for t in terms.tolist()], float), idf[terms]))
+    importance = importance_of(df, n_docs, toxic, held - toxic, totals[1], totals[0])
+    return indexed(chosen, shares, vocabulary, importance, *(c.to_numpy() for c in postings.columns))
+
+
+def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term of the vocabulary stands, and the number of documents. Each partition gives its
+    sums; what comes to the driver has one row per term of the vocabulary at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, sums = WordTerms(vocabulary), np.zeros(len(vocabulary), np.int64)
+        n = 0
+        for batch in arrow_batches(batches):
+            for text in batch.column("text").to_pylist():
+                n += 1
+                found = {t for word in set(words_of(text)) for t in lookup[word]}
+                sums[list(found)] += 1
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([n, *sums[some]], pa.int64())], ["term", "n"])
+
+    slim = narrow(docs, "text").select(text_or_empty().alias("text"))
+    sums = slim.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = sums["term"].to_numpy(), sums["n"].to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[term[term >= 0]] = n[term >= 0]
+    return df, int(n[term < 0].sum())
+
+
+def indexed(
+    chosen: dict[int, int], shares: dict[int, int], vocabulary: dict[str, int], importance: np.ndarray,
+    doc_ids: np.ndarray, terms: np.ndarray, tfs: np.ndarray,
+) -> Index:
+    """The index of the examples chosen (doc_id -> label) from the postings (doc_ids, terms, tfs), with its curve fitted."""
+    some = importance > 0  # all others would add nothing to a cosine
+    number = np.cumsum(some) - 1
+    vocabulary = {t: int(number[k]) for t, k in vocabulary.items() if some[k]}
+    doc_ids, terms, tfs = (x[some[terms]] for x in (doc_ids, terms, tfs))
+    terms, importance = number[terms], importance[some]
+    cut = np.lexsort((terms, doc_ids))
+    doc_ids, terms, tfs = doc_ids[cut], terms[cut], tfs[cut]
+    owners, starts = np.unique(doc_ids, return_index=True)
+    vectors = {}
+    for owner, at, end in zip(owners.tolist(), starts.tolist(), [*starts[1:].tolist(), len(doc_ids)], strict=True):
+        vector = unit(terms[at:end], tfs[at:end], importance)
+        if len(vector[0]):
+            vectors[owner] = vector
     # Neighbours share blocks: by class, then by the strongest term.
-    strongest = {d: int(t[np.argmax(w)]) if len(t) else -1 for d, (t, w) in unit_vectors.items()}
-    order = sorted((d for d in chosen if len(unit_vectors[d][0])), key=lambda d: (chosen[d], strongest[d], d))
-    blocks = -(-len(order) // BLOCK)
-    triples = sorted((int(t), e, float(w)) for e, d in enumerate(order) for t, w in zip(*unit_vectors[d], strict=True))
-    term = np.array([x[0] for x in triples], np.int64)
-    example = np.array([x[1] for x in triples], np.int64)
-    weight = np.array([x[2] for x in triples])
-    place = term * blocks + example // BLOCK
-    flat = np.searchsorted(place, np.arange(len(vocabulary) * blocks + 1))
-    cuts = np.zeros((len(vocabulary), blocks + 1), np.int64)
-    most = np.zeros((len(vocabulary), blocks))
-    if len(vocabulary) and blocks:
-        cuts[:, :-1] = flat[:-1].reshape(len(vocabulary), blocks)
-        cuts[:, -1] = flat[blocks :: blocks]
-        np.maximum.at(most.reshape(-1), place, weight)
+    order = sorted(vectors, key=lambda d: (chosen[d], int(vectors[d][0][np.argmax(vectors[d][1])]), d))
+    term = np.concatenate([np.zeros(0, np.int64), *(vectors[d][0] for d in order)])
+    weight = np.concatenate([np.zeros(0), *(vectors[d][1] for d in order)])
+    example = np.repeat(np.arange(len(order)), [len(vectors[d][0]) for d in order])
+    cut = np.argsort(term, kind="stable")
+    term, weight, example = term[cut], weight[cut], example[cut]
+    block = example // BLOCK
+    fresh = np.ones(len(term), bool)
+    fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+    cuts = np.flatnonzero(fresh)
+    most = np.maximum.reduceat(weight, cuts) if len(cuts) else weight
+    entries = np.searchsorted(term[cuts], np.arange(len(vocabulary) + 1))
     labels = np.array([chosen[d] for d in order], np.int64)
-    index = Index(vocabulary, idf, labels, np.array(order, np.int64), example, weight, cuts, most)
+    index = Index(
+        vocabulary, importance, labels, np.array(order, np.int64), example.astype(np.int32), weight.astype(np.float32),
+        np.append(cuts, len(term)), block[cuts].astype(np.int32), most, entries,
+    )
     share = {c: shares.get(c, 0) / max(1, sum(v == c for v in chosen.values())) for c in (0, 1)}
     votes = []
     for e, d in enumerate(order):
-        near = index.nearest(*unit_vectors[d], but=e)
+        near = index.nearest(*vectors[d], but=e)
         if near:
             votes.append((index.vote(near), chosen[d], share[chosen[d]]))
     if votes:
         index.curve = logistic(*(np.array(c, float) for c in zip(*votes, strict=True)))
-    bare = Counter(chosen[d] for d in chosen if not len(unit_vectors[d][0]))
+    bare = Counter(chosen[d] for d in chosen if d not in vectors)
     toxic, clean = bare[1] * share[1], bare[0] * share[0]
     index.without = toxic / (toxic + clean) if toxic + clean else 0.0
     return index
@@ -241,15 +309,14 @@ def score_documents(docs: DataFrame, index: Index | None) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row of docs (doc_id, text).
 
     evidence: the neighbours as (doc_id, toxic, cosine), nearest first, ties by place in the index. Null and empty texts,
-    and texts without a term of the vocabulary, get the share of toxic ones among such examples and no evidence; without
+    and texts without a term of the index, get the share of toxic ones among such examples and no evidence; without
     labelled rows every score is 0. Repeated rows and null doc_ids are scored like any other; an empty table gives an
     empty result.
     """
-    small_batches(docs.sparkSession)
     item = pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow_batches(batches):
             scores, evidence = [], []
             for text in batch.column("text").to_pylist():
                 near = index.nearest(*index.vector(text)) if index else []

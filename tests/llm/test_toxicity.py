@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -34,20 +36,49 @@ def test_held_out_rows_are_told_apart(corpus):
     assert toxicity.toxicity_digest(docs, labels).count() == docs.count()
 
 
-def test_cosines_are_exact(corpus):
+def test_cosines_are_those_of_a_brute_force_version(corpus):
+    """Term weights and cosines built by hand from the texts: idf over all documents, phi over the examples, no term left out."""
     docs, labels = corpus
     index = toxicity.build_index(docs, labels)
-    dense = np.zeros((len(index.labels), len(index.vocabulary)))
-    for t in range(len(index.vocabulary)):
-        at, end = index.cuts[t, 0], index.cuts[t, -1]
-        dense[index.examples[at:end], t] = index.weights[at:end]
-    for row in docs.collect():
-        terms, weights = index.vector(row["text"] or "")
-        query = np.zeros(len(index.vocabulary))
-        query[terms] = weights
-        scores = dense @ query
-        best = sorted(scores[scores > 0], reverse=True)[: toxicity.NEAREST]
-        assert np.allclose([c for c, _ in index.nearest(terms, weights)], best)
+    all_texts = [r["text"] or "" for r in docs.collect()]
+    of = {}
+    for r in docs.where("doc_id is not null").collect():
+        of.setdefault(r["doc_id"], []).append(r["text"] or "")
+    bags = {d: Counter(t for text in of[d] for w in toxicity.words_of(text) for t in toxicity.terms_of(w)) for d in index.doc_ids.tolist()}
+    label = dict(zip(index.doc_ids.tolist(), index.labels.tolist(), strict=True))
+    n, n1 = len(bags), sum(label.values())
+    df = Counter(t for text in all_texts for t in {t for w in toxicity.words_of(text) for t in toxicity.terms_of(w)})
+    held, toxic = Counter(), Counter()
+    for d, bag in bags.items():
+        held.update(bag.keys())
+        toxic.update(bag.keys() if label[d] else ())
+
+    def weight(t):
+        a, h = toxic[t], held[t]
+        phi2 = (a * (n - n1) - (h - a) * n1) ** 2 / max(1, n1 * (n - n1) * h * (n - h))
+        return (math.log((1 + len(all_texts)) / (1 + df[t])) + 1) * max(0.0, phi2 - 1 / (n - 1))
+
+    weights = {t: w for t in held if (w := weight(t)) > 0}
+    assert index.vocabulary.keys() == weights.keys()
+
+    def vector(bag):
+        raw = {t: (1 + math.log(c)) * weights[t] for t, c in bag.items() if t in weights}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / length for t, x in raw.items()}
+
+    vectors = [vector(bags[d]) for d in index.doc_ids.tolist()]
+    for text in all_texts[::7] + all_texts[-5:]:
+        query = vector(Counter(t for w in toxicity.words_of(text) for t in toxicity.terms_of(w)))
+        cosines = [sum(x * v.get(t, 0.0) for t, x in query.items()) for v in vectors]
+        best = sorted((c for c in cosines if c > 0), reverse=True)[: toxicity.NEAREST]
+        assert np.allclose([c for c, _ in index.nearest(*index.vector(text))], best, atol=1e-6)
+
+
+def test_copies_among_the_examples_count_once_and_boilerplate_is_no_copy():
+    line = "all rights reserved by the owners of this page and its parts"
+    words = [toxicity.words_of(f"{line} {' '.join(f'own{k}x{i}' for i in range(40))}") for k in range(2)]
+    assert toxicity.sketch(words[0]) != toxicity.sketch(words[1])
+    assert toxicity.sketch(words[0]) == toxicity.sketch(list(words[0]))
 
 
 def test_without_labels_or_documents(spark, corpus):
