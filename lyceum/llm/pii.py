@@ -2,8 +2,15 @@
 
 A match is validated, then permuted within its own format by a keyed Feistel network, so that equal values get equal
 pseudonyms in all documents and different values different ones. Dates and addresses are permuted as numbers (with
-cycle-walking where the range is not the domain), card numbers keep their issuer digit and a right check digit, other values
-keep each character's class. Numbers are permuted without their separators, so spelling does not break a link.
+cycle-walking where the range is not the domain), card and account numbers keep their issuer and get right check digits, other
+values keep each character's class. Numbers are permuted without their separators, so spelling does not break a link. The
+key decides everything and is the caller's secret: who has it can invert all pseudonyms.
+
+Covered: e-mail addresses; access keys (AKIA, ASIA); what follows password, passwd, pwd, secret, token or api_key and = or :, also
+as JSON; dates of 1900 to 2099 in ISO order or with the year last, also before a time; IPv4 addresses; IPv6 addresses that are
+written out or begin like a global or local one; phone numbers as NNN-NNN-NNNN with separators, and international ones with
+a plus; IBANs with right check digits; numbers of the form NNN-NN-NNNN; card numbers with a right check digit. Bare runs of ten
+digits are no phone numbers here, as nothing tells them from other numbers.
 """
 
 from __future__ import annotations
@@ -14,17 +21,20 @@ from pyspark.sql import functions as F
 from lyceum.llm.sharding import feistel, permuted
 
 ROUNDS = 8
-KEY = 20250101
+#: Steps of cycle-walking of secrets: a walk goes on with a chance of 6 in 26 for each letter at most.
+WALK = 32
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
 #: Kind -> pattern, in order of precedence; each is also what its match must fully look like.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key)[ \t]{0,3}[=:][ \t]{0,3}[\x22\x27]?[A-Za-z0-9+/_-]{8,512}[\x22\x27]?",
-    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9A-Za-z/-])",
+    "secret": r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api_?key)[\x22\x27]?[ \t]{0,3}[=:][ \t]{0,3}[\x22\x27]?[A-Za-z0-9+/_.=-]{8,}+[\x22\x27]?",
+    "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})(?![0-9A-SU-Za-z/-]|T(?![0-9]))",
     "address": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "address6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[23][0-9A-Fa-f]{3}|[Ff][C-Fc-f][0-9A-Fa-f]{2})(?::[0-9A-Fa-f]{1,4}){0,5}:(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?[0-9]){7,14}(?![0-9A-Za-z])",
     "person_number": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))[0-9]++(?:[ -][0-9]++(?![A-Za-z]))*+",
 }
@@ -60,7 +70,7 @@ def shifted(char: Column, by: Column, letters: int) -> Column:
     )
 
 
-def permuted_text(value: Column, key: int = KEY, letters: int = 26) -> Column:
+def permuted_text(value: Column, key: int, letters: int = 26) -> Column:
     """A keyed bijection among the strings with the same character classes: in turns, one half moves each character of the
     other by a hash of itself and the place."""
     half = F.floor(F.length(value) / 2).cast("int")
@@ -99,17 +109,17 @@ def luhn(digits: Column, doubled_last: bool) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add), F.lit(10))
 
 
-def new_card(value: Column) -> Column:
+def new_card(value: Column, key: int) -> Column:
     """value, which has a right check digit, permuted."""
     digits = digits_of(value)
     n = F.length(digits)
-    inner = permuted_text(F.substring(digits, F.lit(2), n - 2))
+    inner = permuted_text(F.substring(digits, F.lit(2), n - 2), key)
     body = F.concat(F.substring(digits, 1, 1), inner)
     check = F.pmod(F.lit(10) - luhn(body, True), F.lit(10)).cast("string")
     return with_digits(value, F.concat(body, check))
 
 
-def new_cards(run: Column) -> Column:
+def new_cards(run: Column, key: int) -> Column:
     """struct(n, new) of a run of digit groups: windows of whole groups with a right check digit are permuted, n of them.
 
     Of the windows at a group the first of CARD_LENGTHS is taken, from left to right; a window of another length than 16
@@ -138,7 +148,7 @@ def new_cards(run: Column) -> Column:
             inside = F.slice(best, i + 2, b["size"] - 1)
             whole = (b["rank"] == 1) | ~F.exists(inside, lambda x: x["rank"] == 1)
             free = (i >= s["next"]) & (b["rank"] < 99) & whole
-            card = F.transform(F.array(F.array_join(F.slice(all_, i + 1, b["size"]), "")), new_card)[0]
+            card = F.transform(F.array(F.array_join(F.slice(all_, i + 1, b["size"]), "")), lambda x: new_card(x, key))[0]
             plain = F.when(i >= s["next"], F.get(all_, i)).otherwise(F.lit(""))
             return F.struct(
                 F.when(free, i + b["size"]).otherwise(s["next"]).alias("next"),
@@ -155,16 +165,16 @@ def new_cards(run: Column) -> Column:
     return F.transform(F.array(groups), of)[0]
 
 
-def new_address(value: Column) -> Column:
+def new_address(value: Column, key: int) -> Column:
     parts = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 256 + x)
-    moved = feistel(number, 1 << 16, 1 << 16, KEY)
+    moved = feistel(number, 1 << 16, 1 << 16, key)
     octets = [F.shiftright(moved, 8 * k).bitwiseAND(F.lit(255)).cast("string") for k in (3, 2, 1, 0)]
     valid = F.forall(parts, lambda x: x <= 255)
     return F.when(valid, F.concat_ws(".", *octets)).otherwise(value)
 
 
-def new_date(value: Column) -> Column:
+def new_date(value: Column, key: int) -> Column:
     """Dates of 1900 to 2099, day first where both readings are valid; others stay as they are."""
     separator = F.regexp_extract(value, "[./-]", 0)
     year_first = value.rlike("^[0-9]{4}")
@@ -186,45 +196,95 @@ def new_date(value: Column) -> Column:
 
     def move(found: Column) -> Column:
         day = F.date_diff(found["day"], start).cast("long")
-        moved = F.date_add(start, permuted(day, DAYS, KEY).cast("int"))
+        moved = F.date_add(start, permuted(day, DAYS, key).cast("int"))
         return F.when((day >= 0) & (day < DAYS), F.call_function("date_format", moved, found["form"]))
 
     valid = F.filter(read, lambda x: x["day"].isNotNull())
     return F.coalesce(F.get(F.transform(F.slice(valid, 1, 1), move), F.lit(0)), value)
 
 
-def new_phone(value: Column) -> Column:
+def new_address6(value: Column, key: int) -> Column:
+    """Written out in full; the first group, which tells the kind of address, stays. Other spellings of one address are linked."""
+    parts = F.split(F.lower(value), "::", -1)
+    groups = F.transform(parts, lambda x: F.filter(F.split(x, ":"), lambda g: g != ""))
+    missing = F.lit(8) - F.aggregate(groups, F.lit(0), lambda n, g: n + F.size(g))
+    zeros = F.array_repeat(F.lit("0"), missing)
+    whole = F.when(F.size(groups) == 2, F.concat(groups[0], zeros, F.get(groups, 1))).otherwise(groups[0])
+    digits = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+    moved = F.concat(F.substring(digits, 1, 4), permuted_text(F.substring(digits, F.lit(5), F.lit(28)), key, 6))
+    parted = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substring(moved, 4 * k + 1, F.lit(4))), ":")
+    return F.when((F.size(whole) == 8) & (missing >= F.size(groups) - 1), parted).otherwise(value)
+
+
+def rest97(text: Column) -> Column:
+    """A text of digits and capital letters (A is 10, B is 11 and so on) as a number, modulo 97."""
+
+    def step(rest: Column, c: Column) -> Column:
+        digit = c.between("0", "9")
+        return F.pmod(F.when(digit, rest * 10 + c.cast("int")).otherwise(rest * 100 + F.ascii(c) - 55), F.lit(97))
+
+    return F.aggregate(chars(text), F.lit(0), step)
+
+
+def new_iban(value: Column, key: int) -> Column:
+    """Country and form stay, the account moves, and the check digits are made anew."""
+    solid = F.regexp_replace(value, " ", "")
+    country, account = F.substring(solid, 1, 2), F.substring(solid, F.lit(5), F.length(solid))
+    valid = rest97(F.concat(account, F.substring(solid, 1, 4))) == 1
+    moved = permuted_text(account, key)
+    check = F.lpad((F.lit(98) - rest97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
+    whole = F.concat(country, check, moved)
+
+    def at(c: Column, i: Column) -> Column:
+        return F.when(c == " ", c).otherwise(F.substring(whole, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), " ", "")), F.lit(1)))
+
+    return F.when(valid, F.array_join(F.transform(chars(value), at), "")).otherwise(value)
+
+
+def new_phone(value: Column, key: int) -> Column:
+    """The last ten digits move; of shorter numbers with a plus all but the first."""
     digits = digits_of(value)
-    lead = F.length(digits) - 10
-    moved = F.concat(F.substring(digits, F.lit(1), lead), permuted_text(F.substring(digits, lead + 1, F.lit(10))))
+    lead = F.greatest(F.length(digits) - 10, F.when(value.contains("+"), F.lit(1)).otherwise(F.lit(0)))
+    moved = F.concat(F.substring(digits, F.lit(1), lead), permuted_text(F.substring(digits, lead + 1, F.lit(10)), key))
     return with_digits(value, moved)
 
 
-def new_email(value: Column) -> Column:
+def new_email(value: Column, key: int) -> Column:
     """Everything but the top-level domain moves; case does not break a link."""
     low = F.lower(value)
     name = F.regexp_extract(low, r"^(.*)(\.[a-z]+)$", 1)
-    return F.concat(permuted_text(name), F.regexp_extract(low, r"^(.*)(\.[a-z]+)$", 2))
+    return F.concat(permuted_text(name, key), F.regexp_extract(low, r"^(.*)(\.[a-z]+)$", 2))
+
+
+def new_secret(value: Column, key: int) -> Column:
+    """Hexadecimal bodies stay hexadecimal; others are permuted until they are not, so that no two bodies meet."""
+    shape = r"^([A-Za-z_]+[\x22\x27]?[ \t]*[=:][ \t]*[\x22\x27]?)(.*?)([\x22\x27]?)$"
+    hexadecimal = "^[0-9a-f]+$"
+
+    def other(body: Column) -> Column:
+        steps = F.array(*(F.lit(k) for k in range(WALK)))
+        first = permuted_text(body, key)
+        out = F.aggregate(steps, first, lambda s, _: F.when(s.rlike(hexadecimal), permuted_text(s, key)).otherwise(s))
+        return F.when(out.rlike(hexadecimal), F.raise_error(F.lit("cycle walk too long: choose another key"))).otherwise(out)
 
+    def moved(body: Column) -> Column:
+        return F.when(body.rlike(hexadecimal), permuted_text(body, key, 6)).otherwise(other(body))
 
-def new_secret(value: Column) -> Column:
-    shape = r"^([A-Za-z_]+[ \t]*[=:][ \t]*[\x22\x27]?)(.*?)([\x22\x27]?)$"
-    body = F.regexp_extract(value, shape, 2)
-    moved = F.when(body.rlike("^[0-9a-f]+$"), permuted_text(body, letters=6)).otherwise(permuted_text(body))
-    return F.concat(F.regexp_extract(value, shape, 1), moved, F.regexp_extract(value, shape, 3))
+    body = F.transform(F.array(F.regexp_extract(value, shape, 2)), moved)[0]
+    return F.concat(F.regexp_extract(value, shape, 1), body, F.regexp_extract(value, shape, 3))
 
 
-def new_key(value: Column) -> Column:
-    return F.concat(F.substring(value, 1, 4), permuted_text(F.substring(value, F.lit(5), F.length(value))))
+def new_key(value: Column, key: int) -> Column:
+    return F.concat(F.substring(value, 1, 4), permuted_text(F.substring(value, F.lit(5), F.length(value)), key))
 
 
-def new_person_number(value: Column) -> Column:
-    return with_digits(value, permuted_text(digits_of(value)))
+def new_person_number(value: Column, key: int) -> Column:
+    return with_digits(value, permuted_text(digits_of(value), key))
 
 
 PSEUDONYMS = {
     "email": new_email, "key": new_key, "secret": new_secret, "date": new_date, "address": new_address,
-    "phone": new_phone, "person_number": new_person_number,
+    "address6": new_address6, "iban": new_iban, "phone": new_phone, "person_number": new_person_number,
 }
 
 
@@ -237,13 +297,13 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def pseudonym(value: Column) -> Column:
+def pseudonym(value: Column, key: int) -> Column:
     """struct(kind, new) of a match: new equals the match where validation fails."""
 
     def of(kind: Column) -> Column:
         new = value
         for name, make in reversed(list(PSEUDONYMS.items())):
-            new = F.when(kind == name, make(value)).otherwise(new)
+            new = F.when(kind == name, make(value, key)).otherwise(new)
         return F.struct(kind.alias("kind"), new.alias("new"))
 
     return F.transform(F.array(kind_of(value)), of)[0]
@@ -255,12 +315,12 @@ def woven(gaps: Column, between: Column) -> Column:
     return F.concat_ws("", F.flatten(pairs))
 
 
-def with_cards(gap: Column) -> Column:
+def with_cards(gap: Column, key: int) -> Column:
     """struct(text, kinds): a text between other matches with its cards permuted, and a (kind, new) for each run of digits, or for
     each card where a run has several."""
 
     def of(found: Column) -> Column:
-        cards = F.transform(found, new_cards)
+        cards = F.transform(found, lambda run: new_cards(run, key))
         each = F.transform(
             cards, lambda c: F.array_repeat(F.struct(F.lit("card").alias("kind"), c["new"].alias("new")), F.greatest(c["n"], F.lit(1)))
         )
@@ -270,7 +330,7 @@ def with_cards(gap: Column) -> Column:
     return F.transform(F.array(F.regexp_extract_all(gap, F.lit(KINDS["card"]), F.lit(0))), of)[0]
 
 
-def pseudonymised(docs: DataFrame) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: int) -> DataFrame:
     """docs with `text` pseudonymised and `_pii`, the array of struct(kind, new) of its matches.
 
     Null texts stay null, and texts without a match stay as they are, byte for byte. All other columns stay, save that
@@ -280,8 +340,8 @@ def pseudonymised(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,new:string>>")
     searched = may_match(F.col("text"))
     found = F.when(searched, F.regexp_extract_all("text", F.lit(OTHERS), F.lit(0)))
-    gaps = F.when(searched, F.transform(F.split("text", OTHERS, -1), with_cards))
-    marked = base.withColumn("_other", F.coalesce(F.transform(found, pseudonym), none)).withColumn("_gaps", gaps)
+    gaps = F.when(searched, F.transform(F.split("text", OTHERS, -1), lambda gap: with_cards(gap, key)))
+    marked = base.withColumn("_other", F.coalesce(F.transform(found, lambda x: pseudonym(x, key)), none)).withColumn("_gaps", gaps)
     order = F.zip_with(F.col("_gaps.kinds"), "_other", lambda cards, other: F.concat(
         cards, F.when(other.isNotNull(), F.array(other)).otherwise(none)
     ))
@@ -290,9 +350,9 @@ def pseudonymised(docs: DataFrame) -> DataFrame:
     return marked.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in base.columns), "_pii")
 
 
-def pseudonym_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_changed, and the number of matches of each kind)."""
-    out = pseudonymised(docs.select("doc_id", "text"))
+def pseudonym_digest(docs: DataFrame, key: int) -> DataFrame:
+    """(doc_id, text, n_found, and the number of matches of each kind)."""
+    out = pseudonymised(docs.select("doc_id", "text"), key)
 
     def count(kind: str) -> Column:
         return F.size(F.filter("_pii", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")

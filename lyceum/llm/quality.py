@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lyceum.llm.shared import narrow, small_batches
+from lyceum.llm.shared import narrow, stored
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -126,7 +126,6 @@ def ledger(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words. Ties, repeated rows and null doc_ids are rows like any other; an empty table
     gives an empty ledger.
     """
-    small_batches(docs.sparkSession)
     book = narrow(docs, "doc_id", "text").select("doc_id", measures("text").alias("m")).select("doc_id", "m.*")
     return book.withColumn("failed_rules", failed_rules())
 
@@ -168,17 +167,25 @@ def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The rows of docs (with their own columns) that pass the policy; text never leaves its row."""
-    small_batches(docs.sparkSession)
     names = [F.col(f"`{n}`") for n in docs.columns]
     whole = docs.select(F.struct(*names).alias("_row"), measures("text").alias("_m"))
     flat = whole.select("_row", *(F.col(f"_m.{m}").alias(m) for m in MEASURES))
     return flat.withColumn("failed_rules", failed_rules()).where(passes(version)).select("_row.*")
 
 
+def sole_rule(version: str = CURRENT) -> Column:
+    """The one rule of the policy that a document fails: without it the document would be kept. Null if it fails none or several."""
+    held = F.col("failed_rules").bitwiseAND(F.lit(mask(POLICIES[version])))
+    return F.coalesce(*(F.when(held == mask((rule,)), F.lit(rule)) for rule in POLICIES[version]))
+
+
 def quality_digest(docs: DataFrame) -> DataFrame:
-    book = ledger(docs)
+    """The ledger, stored once, with the verdict of the current policy and, for documents that one rule alone rejects, that rule
+    and how many documents the policy would keep without it. The table of ablations has one row per rule and is broadcast."""
+    book = stored(ledger(docs))
     base_failed = ~passes("base")
-    return book.select(
+    figures = ablations(book).select(F.col("rule").alias("sole_rule"), "n_kept_without")
+    return book.withColumn("sole_rule", sole_rule()).join(F.broadcast(figures), "sole_rule", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), (~base_failed & passes(CURRENT)).alias("kept"), "failed_rules",
+        base_failed.alias("base_failed"), (~base_failed & passes(CURRENT)).alias("kept"), "failed_rules", "sole_rule", "n_kept_without",
     )

@@ -15,6 +15,9 @@ from lyceum.llm.simhash import near_group_digest
 from lyceum.llm.toxicity import toxicity_digest
 from lyceum.llm.training_order import order_digest
 
+#: For the registered query and pipeline only: pseudonyms of real data take a secret of their own.
+EXAMPLE_KEY = 20250101
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -49,7 +52,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonym_digest(documents(spark, sf_dir))
+    return pseudonym_digest(documents(spark, sf_dir), EXAMPLE_KEY)
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,5 +109,10 @@ bits AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_w
                    + 128 * (100 * n_letters < 50 * word_chars)::BIGINT + 256 * (100 * n_digits > 50 * word_chars)::BIGINT
                    + 512 * (100 * n_stutter > 30 * n_words)::BIGINT AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules % 4 <> 0 AS base_failed,
-       failed_rules = 0 AS kept, failed_rules FROM bits
+       failed_rules = 0 AS kept, failed_rules, sole_rule,
+       CASE WHEN sole_rule IS NOT NULL THEN count(*) OVER (PARTITION BY failed_rules) + (SELECT count(*) FROM bits WHERE failed_rules = 0)
+       END AS n_kept_without
+FROM (SELECT *, CASE failed_rules WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_windows' WHEN 4 THEN 'duplicate_lines' WHEN 8 THEN 'symbols'
+             WHEN 16 THEN 'shouting' WHEN 32 THEN 'exclamations' WHEN 64 THEN 'word_length' WHEN 128 THEN 'few_letters'
+             WHEN 256 THEN 'digits' WHEN 512 THEN 'stutter' END AS sole_rule FROM bits)
 """

@@ -13,7 +13,7 @@ CARD = "4111 1111 1111 1111"
 def moved(spark):
     def of(*texts):
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        return [(r["text"], [p["kind"] for p in r["_pii"]]) for r in pii.pseudonymised(df).orderBy("doc_id").collect()]
+        return [(r["text"], [p["kind"] for p in r["_pii"]]) for r in pii.pseudonymised(df, 20250101).orderBy("doc_id").collect()]
 
     return of
 
