@@ -5,6 +5,8 @@ Extractors are run on text and tables rendered from relational rows, so that the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from lyceum.functions import url as U
 from lyceum.operators import crawl, layout, store
 from lyceum.operators import html as H
 from lyceum.plans import extract
+from lyceum.session import shared_folder
+from lyceum.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,8 +76,8 @@ FROM (SELECT page_id, {sql_hits(fixed.ADMISSION_INDICATORS, "t")} AS ai, {sql_hi
 
 
 def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", "url", C.page_type(H.stripped_text(F.col("html"))).alias("page_type"))
+    pages = H.parse_pages(table(spark, sf_dir, "pages"), "plain")
+    return pages.select("page_id", "url", C.page_type(F.col("page.plain")).alias("page_type"))
 
 
 @query(f"SELECT page_type, count(*) AS n FROM ({SQL_TYPED}) GROUP BY page_type")
@@ -98,7 +102,7 @@ def page_title_text(spark, sf_dir):
 @query()
 def page_main_text(spark, sf_dir):
     """Text, main text, tables and images of every page, by the parser; checked by unit tests."""
-    pages = H.parse_pages(table(spark, sf_dir, "pages"))
+    pages = H.parse_pages(table(spark, sf_dir, "pages"), "text", "main_text", "tables", "images")
     return pages.select(
         "page_id", F.col("page.text").alias("text"), F.col("page.main_text").alias("main_text"),
         F.size("page.tables").cast("long").alias("n_tables"), F.size("page.images").cast("long").alias("n_images"),
@@ -112,7 +116,7 @@ SQL_ROOT = "regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0)"
 @query(f"""SELECT page_id, {SQL_ROOT} || href AS link, count(*) AS n FROM ({SQL_LINKS})
 WHERE NOT starts_with(href, 'javascript:') AND href <> '#' GROUP BY 1, 2""")
 def link_extract(spark, sf_dir):
-    pages = H.parse_pages(table(spark, sf_dir, "pages"))
+    pages = H.parse_pages(table(spark, sf_dir, "pages"), "links")
     return H.links(pages, "page_id").groupBy("page_id", F.col("url").alias("link")).agg(F.count("*").alias("n"))
 
 
@@ -126,9 +130,9 @@ FROM (SELECT DISTINCT page_id, {SQL_ROOT} || href AS link, regexp_extract(href,
       FROM ({SQL_LINKS}) WHERE NOT starts_with(href, 'javascript:') AND NOT starts_with(href, '#'))
 WHERE NOT regexp_matches(lower(link_path), '\\.(pdf|docx?|xlsx?|jpe?g|png|gif)$')""")
 def link_filter_typed(spark, sf_dir):
-    pages = H.parse_pages(table(spark, sf_dir, "pages")).withColumn("site", U.domain(F.col("url")))
-    links = H.crawl_links(pages, "page_id").join(pages.select("page_id", "site"), "page_id")
-    kept = crawl.page_links(links, F.col("site"), F.lit("general"))
+    pages = H.parse_pages(table(spark, sf_dir, "pages"), "links")
+    sites = table(spark, sf_dir, "pages").select("page_id", U.domain(F.col("url")).alias("site"))
+    kept = crawl.page_links(H.crawl_links(pages, "page_id").join(sites, "page_id"), F.col("site"), F.lit("general"))
     return kept.select("page_id", F.col("url").alias("link"), "page_type").distinct()
 
 
@@ -195,15 +199,56 @@ def seed_urls(spark, sf_dir):
     return crawl.seeds(targets(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query(f"""WITH RECURSIVE edges AS (SELECT DISTINCT url, {SQL_ROOT} || href AS link FROM ({SQL_LINKS})
+    WHERE NOT starts_with(href, 'javascript:') AND NOT starts_with(href, '#')),
+  walk AS (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS site, min(url) AS url, 0 AS depth FROM pages GROUP BY 1
+    UNION SELECT site, link, depth + 1 FROM walk JOIN edges USING (url) WHERE depth < 3),
+  nearest AS (SELECT site, url, min(depth) AS depth FROM walk GROUP BY site, url)
+SELECT site, url, depth FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, url) AS r FROM nearest) WHERE r <= 50""")
 def crawl_frontier(spark, sf_dir):
-    """Pages within three links of each site's first page, 50 at most a site; rounds are iterative, so there is no SQL."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/lyceum-checkpoints"))
-    pages = H.parse_pages(table(spark, sf_dir, "pages"))
-    edges = H.crawl_links(pages, "page_id").select("page_id", F.col("url").alias("to")).join(pages.select("page_id", "url"), "page_id")
+    """Pages within three links of each site's first page, 50 at most a site."""
+    pages = table(spark, sf_dir, "pages")
+    found = H.crawl_links(H.parse_pages(pages, "links"), "page_id").withColumnRenamed("url", "to")
+    edges = found.join(pages.select("page_id", "url"), "page_id").select("url", "to").distinct()
     first = pages.groupBy(U.domain(F.col("url")).alias("site")).agg(F.min("url").alias("url"))
-    return crawl.frontier(first, edges.select("url", "to").distinct())
+    return crawl.frontier(first, edges)
+
+
+SQL_PAGE = "'K' || o_orderkey || '/' || o_custkey"
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each order: menus to leave out, a part with the content, open paragraphs, nested lists, links and images."""
+    key = joined("K", F.col("o_orderkey"), "/", F.col("o_custkey"))
+    html = joined(
+        "<html><head><title>T</title><script>var s = '<p>no</p>';</script></head><body><nav><p>menu</p></nav><header><h1>top</h1></header>"
+        "<p>outside</p><div class='wide content'><h2>Order ", key, "</h2><p>first ", F.col("o_orderstatus"), "<p>second <b>&amp;</b> part</p></p>"
+        "<ul><li>one<ul><li>inner</li></ul></li></ul><a href='files/", F.col("o_orderkey"), ".PDF'>f</a><a href='/x/list.xlsx?v=1'>x</a>"
+        "<a href='page.html'>p</a></div><img src='chart.png' alt='Chart'><img src='icon.png' alt='chart' width='20'>"
+        "<table class='t'><tr><td><span>Placement</span><img src='/p.png'></td></tr></table><footer><p>foot</p></footer></body></html>",
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", joined("https://h.example/a/", F.col("o_custkey"), "/").alias("url"), html.alias("html"))
+
+
+@query(f"""SELECT o_orderkey, concat_ws(chr(10), 'outside', m) AS text, m AS main_text FROM (SELECT o_orderkey, concat_ws(chr(10),
+  'Order ' || {SQL_PAGE}, 'first ' || o_orderstatus || 'second&part', 'second&part', 'oneinner', 'inner') AS m FROM orders)""")
+def page_texts(spark, sf_dir):
+    pages = H.parse_pages(order_pages(spark, sf_dir), "text", "main_text")
+    return pages.select("o_orderkey", F.col("page.text").alias("text"), F.col("page.main_text").alias("main_text"))
+
+
+@query("""SELECT o_orderkey, 'https://h.example/a/' || o_custkey || '/files/' || o_orderkey || '.PDF' AS link, 'pdf' AS file_type,
+  'application/pdf' AS content_type FROM orders""")
+def page_file_links(spark, sf_dir):
+    found = H.file_links(H.parse_pages(order_pages(spark, sf_dir), "links"), "o_orderkey")
+    return found.select("o_orderkey", F.col("url").alias("link"), "file_type", "content_type")
+
+
+@query("""SELECT o_orderkey, 'https://h.example/a/' || o_custkey || '/chart.png' AS link FROM orders
+UNION ALL SELECT o_orderkey, 'https://h.example/p.png' FROM orders""")
+def page_data_images(spark, sf_dir):
+    found = H.image_links(H.parse_pages(order_pages(spark, sf_dir), "images"), "o_orderkey")
+    return found.select("o_orderkey", F.col("url").alias("link"))
 
 
 # --- store -----------------------------------------------------------------------------------------------------------
@@ -272,6 +317,30 @@ def update_first(spark, sf_dir):
     return out.select("o_orderkey", "o_orderstatus")
 
 
+def fresh(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/lyceum-{uuid.uuid4().hex}"
+
+
+@query("""SELECT o_orderkey, o_orderstatus, count(*) AS n FROM (SELECT * FROM orders WHERE o_orderkey % 3 > 0
+UNION ALL SELECT * FROM orders WHERE o_orderkey % 3 < 2) GROUP BY 1, 2""")
+def append_twice(spark, sf_dir):
+    """Two appends to one partitioned store, read again: equal rows are there twice."""
+    orders, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), fresh(spark)
+    third = F.pmod("o_orderkey", F.lit(3))
+    store.append(orders.where(third > 0), path, "o_orderstatus")
+    store.append(orders.where(third < 2), path, "o_orderstatus")
+    found = store.scan(spark, path, "o_orderkey long, o_orderstatus string")
+    return found.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name AS name, [lower(n_name), 'é \" ' || n_name] AS alias FROM nation")
+def json_round_trip(spark, sf_dir):
+    nation, path = table(spark, sf_dir, "nation"), fresh(spark)
+    alias = F.array(F.lower("n_name"), joined('é " ', F.col("n_name")))
+    tables.save_json(nation.select(F.col("n_nationkey").cast("long"), F.col("n_name").alias("name"), alias.alias("alias")), path)
+    return tables.json_file(spark, path, "n_nationkey long, name string, alias array<string>", lines=True)
+
+
 # --- text ------------------------------------------------------------------------------------------------------------
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
@@ -454,28 +523,28 @@ SQL_LINE_ROWS = """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey
 
 @query(f"SELECT l_orderkey, place, course, seats FROM ({SQL_LINE_ROWS})")
 def table_rows(spark, sf_dir):
-    pages = H.parse_pages(line_tables(spark, sf_dir))
-    each = pages.select("l_orderkey", F.posexplode(F.flatten(F.transform("page.tables", lambda t: t["raw_rows"]))).alias("p", "row"))
-    return each.select("l_orderkey", F.col("p").cast("long").alias("place"), F.col("row")[0].alias("course"), F.col("row")[1].alias("seats"))
+    pages = H.parse_pages(line_tables(spark, sf_dir), "tables")
+    each = H.each_of(pages, F.flatten(F.transform("page.tables", lambda t: t["raw_rows"])), "row", "l_orderkey")
+    return each.select("l_orderkey", F.col("place").cast("long").alias("place"), F.col("row")[0].alias("course"), F.col("row")[1].alias("seats"))
 
 
 @query(f"SELECT l_orderkey, place, course, seats, extra FROM ({SQL_LINE_ROWS})")
 def table_cells_overflow(spark, sf_dir):
-    pages = H.parse_pages(line_tables(spark, sf_dir))
+    pages = H.parse_pages(line_tables(spark, sf_dir), "tables")
     maps = F.flatten(F.transform(H.data_tables(F.col("page")), H.table_rows))
-    each = pages.select("l_orderkey", F.posexplode(maps).alias("p", "row"))
+    each = H.each_of(pages, maps, "row", "l_orderkey")
     return each.select(
-        "l_orderkey", F.col("p").cast("long").alias("place"), F.col("row")["Course"].alias("course"),
+        "l_orderkey", F.col("place").cast("long").alias("place"), F.col("row")["Course"].alias("course"),
         F.col("row")["Seats"].alias("seats"), F.col("row")["column_3"].alias("extra"),
     )
 
 
 @query(f"SELECT l_orderkey, place, course AS name, seats FROM ({SQL_LINE_ROWS})")
 def courses(spark, sf_dir):
-    pages = H.parse_pages(line_tables(spark, sf_dir))
+    pages = H.parse_pages(line_tables(spark, sf_dir), "text", "tables")
     found = A.courses(F.col("page.text"), H.data_tables(F.col("page")))
-    each = pages.select("l_orderkey", F.posexplode(found).alias("p", "c"))
-    return each.select("l_orderkey", F.col("p").cast("long").alias("place"), "c.name", "c.seats")
+    each = H.each_of(pages, found, "c", "l_orderkey")
+    return each.select("l_orderkey", F.col("place").cast("long").alias("place"), "c.name", "c.seats")
 
 
 @query("""SELECT p_partkey, unnest(['Course ' || p_partkey, 'Brand ' || p_size]) AS name FROM part""")

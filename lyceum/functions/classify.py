@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +14,11 @@ from lyceum.functions.text import word_count
 
 
 def hit_count(text: Column, words: Sequence[str]) -> Column:
-    """How many of the words text contains (each counts once); text is lower-cased by the caller."""
-    return F.size(F.filter(F.lit(list(words)), lambda w: F.contains(text, w)))
+    """How many of the words text contains (each counts once); text is lower-cased by the caller.
+
+    A plain sum, not a lambda over the words: so text, however dear, is computed once for all of them.
+    """
+    return reduce(add, (text.contains(w).cast("int") for w in words))
 
 
 def verdict(hook: Column | None, otherwise: Column, least: float = 0.6) -> Column:

@@ -19,6 +19,15 @@ def context(text: Column, position: Column, size: int = fixed.CONTEXT) -> Column
     )
 
 
+DATES = "array<struct<date_str:string,match_groups:array<string>,position:int,context:string>>"
+NUMBERS = "array<struct<match:string,value:string,numeric_value:double,position:int,context:string>>"
+
+
+def with_digits_only(text: Column, found: Column, kind: str) -> Column:
+    """found, an array of this kind, is searched only in texts with a digit, which its patterns need; else it is empty."""
+    return F.when(text.rlike("[0-9]"), found).when(text.isNotNull(), F.array().cast(kind))
+
+
 def dates(text: Column) -> Column:
     """array<struct<date_str, match_groups, position, context>>, pattern by pattern; a date two patterns match comes twice."""
     found = [
@@ -31,7 +40,7 @@ def dates(text: Column) -> Column:
         )
         for p in fixed.DATE_PATTERNS
     ]
-    return F.concat(*found)
+    return with_digits_only(text, F.concat(*found), DATES)
 
 
 def numbers(text: Column) -> Column:
@@ -47,7 +56,7 @@ def numbers(text: Column) -> Column:
         )
         for p in fixed.NUMBER_PATTERNS
     ]
-    return F.concat(*found)
+    return with_digits_only(text, F.concat(*found), NUMBERS)
 
 
 def plain_numbers(text: Column) -> Column:
@@ -65,7 +74,7 @@ def phones(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """White space folded to single spaces, then control characters dropped, then trimmed; null becomes empty."""
-    folded = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\x1c-\x1f\x85\xa0]+", " ")
+    folded = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{rx.SPACE}]+", " ")
     return F.trim(F.regexp_replace(folded, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
 
 
@@ -95,4 +104,4 @@ def truncated(text: Column, n: int) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for blank or null texts."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), f"[{rx.SPACE}]+"), lambda w: w != ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lyceum.functions import fixed
 from lyceum.functions import url as U
+from lyceum.session import shared_folder
 
 
 def by_name(targets: DataFrame, needle: str) -> DataFrame:
@@ -44,6 +45,9 @@ def frontier(start: DataFrame, edges: DataFrame, rounds: int = 3, budget: int =
     A round follows the links of the last one and leaves out what was visited; nearer pages, then smaller URLs, come first
     where the budget ends. Each round is checkpointed, so the plan does not grow.
     """
+    context = start.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(start.sparkSession))
     visited = start.select("site", "url").distinct().withColumn("depth", F.lit(0))
     front = visited
     for depth in range(1, rounds + 1):

@@ -1,4 +1,4 @@
-"""HTML pages as columns: one parse per page in Arrow batches gives text, main text, tables, links and data images.
+"""HTML pages as columns: one parse per page in Arrow batches gives what is wanted of text, main text, tables, links and data images.
 
 Everything that follows from these (table rows as maps, link rules, typing) is done by column expressions.
 """
@@ -156,57 +156,83 @@ def is_data_image(image: Node) -> bool:
     return any(word in text for word in fixed.IMAGE_INDICATORS for text in near)
 
 
-def read_page(html: str | None) -> dict | None:
+FIELDS = ("text", "main_text", "plain", "tables", "links", "images")
+
+
+def read_page(html: str | None, wanted: tuple[str, ...] = FIELDS) -> dict | None:
+    """The wanted fields of a page; nothing is worked out for others."""
     if html is None:
         return None
     root = tree(html)
-    bare = without(root, DROPPED)
+    bare = without(root, DROPPED) if "text" in wanted or "main_text" in wanted else root
+    return {name: _READERS[name](root, bare) for name in wanted}
+
+
+def _main_text(root: Node, bare: Node) -> str:
     part = main_part(bare)
+    return block_text(part) if part else bare.text("\n")
+
+
+def _tables(root: Node, bare: Node) -> list[dict]:
     tables = []
     for k, table in enumerate(root.find_all("table")):
         headers, rows = table_cells(table)
         tables.append({"table_index": k, "headers": headers, "raw_rows": rows, "text": table.text("\n")})
-    return {
-        "text": block_text(bare),
-        "main_text": block_text(part) if part else bare.text("\n"),
-        "plain": "".join(root.strings()),
-        "tables": tables,
-        "links": [{"href": a.attrs["href"], "text": a.text()} for a in root.find_all("a") if a.attrs.get("href")],
-        "images": [i.attrs["src"] for i in root.find_all("img") if i.attrs.get("src") and is_data_image(i)],
-    }
-
-
-_strings = pa.list_(pa.string())
-PAGE_ARROW = pa.struct(
-    [
-        ("text", pa.string()), ("main_text", pa.string()), ("plain", pa.string()),
-        ("tables", pa.list_(pa.struct([("table_index", pa.int32()), ("headers", _strings), ("raw_rows", pa.list_(_strings)), ("text", pa.string())]))),
-        ("links", pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())]))),
-        ("images", _strings),
-    ]
-)
-PAGE = T.StructType(
-    [
-        T.StructField("text", T.StringType()), T.StructField("main_text", T.StringType()), T.StructField("plain", T.StringType()),
-        T.StructField("tables", T.ArrayType(T.StructType([
-            T.StructField("table_index", T.IntegerType()), T.StructField("headers", T.ArrayType(T.StringType())),
-            T.StructField("raw_rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("text", T.StringType()),
-        ]))),
-        T.StructField("links", T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))),
-        T.StructField("images", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-@F.arrow_udf(PAGE)
-def parsed(html: pa.Array) -> pa.Array:
-    """struct of what a page holds; null for null. Broken HTML is read as far as it goes."""
-    return pa.array([read_page(h) for h in html.to_pylist()], PAGE_ARROW)
-
-
-def parse_pages(pages: DataFrame, html: str = "html", into: str = "page") -> DataFrame:
+    return tables
+
+
+_READERS = {
+    "text": lambda root, bare: block_text(bare),
+    "main_text": _main_text,
+    "plain": lambda root, bare: "".join(root.strings()),
+    "tables": _tables,
+    "links": lambda root, bare: [{"href": a.attrs["href"], "text": a.text()} for a in root.find_all("a") if a.attrs.get("href")],
+    "images": lambda root, bare: [i.attrs["src"] for i in root.find_all("img") if i.attrs.get("src") and is_data_image(i)],
+}
+_strings, _texts = pa.list_(pa.string()), T.ArrayType(T.StringType())
+#: Field -> its Arrow type and its Spark type.
+_TYPES = {
+    "text": (pa.string(), T.StringType()),
+    "main_text": (pa.string(), T.StringType()),
+    "plain": (pa.string(), T.StringType()),
+    "tables": (
+        pa.list_(pa.struct([("table_index", pa.int32()), ("headers", _strings), ("raw_rows", pa.list_(_strings)), ("text", pa.string())])),
+        T.ArrayType(T.StructType([
+            T.StructField("table_index", T.IntegerType()), T.StructField("headers", _texts),
+            T.StructField("raw_rows", T.ArrayType(_texts)), T.StructField("text", T.StringType()),
+        ])),
+    ),
+    "links": (
+        pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())])),
+        T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())])),
+    ),
+    "images": (_strings, _texts),
+}
+
+
+def parsed(html: Column, *wanted: str) -> Column:
+    """struct of the wanted fields of a page, all of FIELDS if none is named; null for null. Broken HTML is read as far as it
+    goes."""
+    names = wanted or FIELDS
+    arrow = pa.struct([(n, _TYPES[n][0]) for n in names])
+
+    def read(pages: pa.Array) -> pa.Array:
+        return pa.array([read_page(h, names) for h in pages.to_pylist()], arrow)
+
+    read.__annotations__ = {"pages": pa.Array, "return": pa.Array}
+    return F.arrow_udf(read, T.StructType([T.StructField(n, _TYPES[n][1]) for n in names]))(html)
+
+
+def parse_pages(pages: DataFrame, *wanted: str, html: str = "html", into: str = "page") -> DataFrame:
     """pages with the parsed struct, parsed once per row."""
-    return pages.withColumn(into, parsed(F.col(html)))
+    return pages.withColumn(into, parsed(F.col(html), *wanted))
+
+
+def each_of(pages: DataFrame, items: Column | str, name: str, *kept: str | Column) -> DataFrame:
+    """(kept, place, name): a row for each item of an array that comes from the parser. The outer form keeps the optimiser from
+    asking for the array's size below, which would parse each page a second time."""
+    each = pages.select(*kept, F.posexplode_outer(items).alias("place", name))
+    return each.where(F.col("place").isNotNull())
 
 
 def stripped_text(html: Column) -> Column:
@@ -248,14 +274,14 @@ def table_rows(table: Column) -> Column:
 
 def links(pages: DataFrame, key: str, base: str = "url", page: str = "page") -> DataFrame:
     """(key, place, text, url): all links but scripts and the bare #, resolved against the page."""
-    each = pages.select(key, base, F.posexplode(F.col(f"{page}.links")).alias("place", "link"))
+    each = each_of(pages, f"{page}.links", "link", key, base)
     kept = each.where(~F.col("link.href").startswith("javascript:") & (F.col("link.href") != "#"))
     return kept.select(key, "place", F.col("link.text").alias("text"), U.joined(F.col(base), F.col("link.href")).alias("url"))
 
 
 def crawl_links(pages: DataFrame, key: str, base: str = "url", page: str = "page") -> DataFrame:
     """(key, place, url): links that can lead to pages: no scripts, no fragments of the page itself, no mail."""
-    each = pages.select(key, base, F.posexplode(F.col(f"{page}.links")).alias("place", "link"))
+    each = each_of(pages, f"{page}.links", "link", key, base)
     kept = each.where(~F.col("link.href").startswith("javascript:") & ~F.col("link.href").startswith("#"))
     resolved = kept.select(key, "place", U.joined(F.col(base), F.col("link.href")).alias("url"))
     return resolved.where(~F.col("url").startswith("mailto:"))
@@ -263,7 +289,7 @@ def crawl_links(pages: DataFrame, key: str, base: str = "url", page: str = "page
 
 def file_links(pages: DataFrame, key: str, base: str = "url", page: str = "page") -> DataFrame:
     """(key, place, url, file_type, content_type) of links to files worth a download."""
-    each = pages.select(key, base, F.posexplode(F.col(f"{page}.links")).alias("place", "link"))
+    each = each_of(pages, f"{page}.links", "link", key, base)
     resolved = each.select(key, "place", U.joined(F.col(base), F.col("link.href")).alias("url"))
     typed = resolved.withColumn("file_type", U.file_type(F.col("url"))).where(F.col("file_type").isin(fixed.FILE_TYPES))
     return typed.withColumn("content_type", U.mime_type(F.col("file_type")))
@@ -271,12 +297,12 @@ def file_links(pages: DataFrame, key: str, base: str = "url", page: str = "page"
 
 def image_links(pages: DataFrame, key: str, base: str = "url", page: str = "page") -> DataFrame:
     """(key, place, url) of images that likely show data."""
-    each = pages.select(key, base, F.posexplode(F.col(f"{page}.images")).alias("place", "src"))
+    each = each_of(pages, f"{page}.images", "src", key, base)
     return each.select(key, "place", U.joined(F.col(base), F.col("src")).alias("url"))
 
 
 def table_documents(pages: DataFrame, key: str, page: str = "page") -> DataFrame:
     """(key, table_index, text, headers, raw_rows): one row for each table of a page."""
-    return pages.select(key, F.explode(F.col(f"{page}.tables")).alias("t")).select(
+    return each_of(pages, f"{page}.tables", "t", key).select(
         key, "t.table_index", "t.text", "t.headers", "t.raw_rows"
     )

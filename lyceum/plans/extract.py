@@ -52,7 +52,7 @@ def facts(raw: DataFrame, college: str, at: Column, enhancer: Hook | None = None
 
 def content_parts(content: Column, df: DataFrame) -> tuple[Column, Column]:
     """Text and tables of a content: parsed where it is HTML, else the text as it is and no tables."""
-    page = H.parsed(F.when(H.is_html(content), content))
+    page = H.parsed(F.when(H.is_html(content), content), "text", "tables")
     none = F.array().cast(schemas.NO_TABLES)
     tables = F.when(H.is_html(content), H.data_tables(page)).otherwise(none)
     return F.when(H.is_html(content), page["text"]).otherwise(content), tables
@@ -66,7 +66,7 @@ def process(raw: DataFrame, processed: DataFrame, at: Column, name: str | None =
 
 def embedded(raw: DataFrame) -> DataFrame:
     """Raw documents of the tables in raw pages (with their parsed page), each naming its page as parent."""
-    tables = raw.select("raw_id", "college_name", "url", "extraction_date", F.explode("page.tables").alias("t"))
+    tables = H.each_of(raw, "page.tables", "t", "raw_id", "college_name", "url", "extraction_date")
     return tables.select(
         F.concat_ws("-", "raw_id", F.col("t.table_index").cast("string")).alias("raw_id"), "college_name", "url",
         F.lit("table").alias("page_type"), F.col("t.text").alias("raw_content"), "extraction_date",

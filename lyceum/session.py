@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,12 @@ def get_spark(master: str = "local[8]", name: str = "lyceum", **conf: str) -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where none is named, a temporary one, for a local master only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    return (named or f"file://{tempfile.gettempdir()}/lyceum-checkpoints").rstrip("/")

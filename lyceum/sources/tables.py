@@ -14,14 +14,15 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, path: str) -> DataFrame:
-    """The target catalogue of a JSON file (a list of objects), with its ordinal from 1 as written."""
+    """The target catalogue of a JSON file (a list of objects), with its ordinal from 1 as written. A whole-file JSON document is
+    read by one task, so the numbers have no gaps; path must name one file."""
     rows = spark.read.schema(schemas.TARGET).option("multiLine", True).json(path)
     return rows.select((F.monotonically_increasing_id() + 1).alias("ordinal"), "*")
 
 
-def json_file(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Whole-file JSON; broken files give a row of nulls, not an error."""
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
+def json_file(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Whole-file JSON, or an object a line as save_json writes it; broken files give a row of nulls, not an error."""
+    reader = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE")
     return (reader.schema(schema) if schema else reader).json(path)
 
 

@@ -202,3 +202,12 @@ def test_frontier(spark, tmp_path):
     start = spark.createDataFrame([("s", "a")], "site string, url string")
     assert {(r["url"], r["depth"]) for r in crawl.frontier(start, edges, 3).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
     assert crawl.frontier(start, edges, 3, budget=2).count() == 2
+
+
+def test_white_space_is_that_of_unicode(value):
+    for c in "\u2009\u2028\u3000\u1680\u00a0\u0085\x1c":
+        assert value(f"a{c}{c}b ", X.clean) == "a b", repr(c)
+        assert value(f"{c}a{c}b", X.word_count) == 2
+        (hit,) = value(f"5{c}March{c}2024", X.dates)
+        assert hit["position"] == 0
+    assert value("a\u200bb", X.word_count) == 1
