@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,14 @@ def scan(spark: SparkSession, path: str, schema: str | None = None, **equal: obj
     return df
 
 
-def append(df: DataFrame, path: str, *partition_by: str) -> None:
-    """Adds rows; equal rows are added again."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+def append(df: DataFrame, path: str, *partition_by: str, sort_by: Sequence[str] = ()) -> None:
+    """Adds rows; equal rows are added again.
+
+    Folders by partition_by and the order of rows inside each file stand in for indexes: a scan for equal values reads the
+    folders that have them, and of their files the row groups whose range of sort_by can hold them.
+    """
+    ordered = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
+    ordered.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def updated_first(df: DataFrame, match: Column, order: list[str], **values: object) -> DataFrame:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lyceum.operators import store
 from lyceum.sources import tables as S
 
 
@@ -31,3 +32,15 @@ def test_binary_files_and_pdf_lines(spark, tmp_path):
     assert [s["text"] for s in lines[0]["l"]["spans"]] == ["one", "two"]
     with pytest.raises(NotImplementedError):
         S.pdf_lines(files)
+
+
+def test_layout_of_a_store_prunes_its_scans(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    df = spark.range(1000).selectExpr("id", "concat('c', id % 50) AS college_name", "concat('t', id % 3) AS page_type")
+    store.append(df.repartition(1), path, "page_type", sort_by=["college_name", "id"])
+    found = store.scan(spark, path, page_type="t1", college_name="c7")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "page_type#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(college_name,c7)" in plan
+    assert sorted(r["id"] for r in found.collect()) == [k for k in range(1000) if k % 50 == 7 and k % 3 == 1]
+    order = [r["college_name"] for r in spark.read.parquet(f"{path}/page_type=t1").select("college_name").collect()]
+    assert order == sorted(order)
