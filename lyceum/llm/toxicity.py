@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lyceum.llm.shared import arrow_batches, narrow, stored, text_or_empty
 
 #: Labelled rows of each class, neighbours that vote, examples in a block of the index, blocks opened at once.
-SAMPLE, NEAREST, BLOCK, OPENED = 600, 15, 32, 8
+SAMPLE, NEAREST, BLOCK, OPENED = 600, 15, 64, 8
 #: What a sum of weights may be off by.
 ROUNDING = 1e-6
 SKETCH, SKETCH_WORDS = 8, 5
@@ -61,14 +61,22 @@ class WordTerms(dict):
     """word -> numbers of its terms in the vocabulary; forgets everything beyond REMEMBERED words."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
+        self.whole = {t: k for t, k in vocabulary.items() if t[-1] != "*"}
+        self.starts = [(n, {t[:-1]: k for t, k in vocabulary.items() if t[-1] == "*" and len(t) == n + 1}) for n in PREFIXES]
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        self[word] = found
-        return found
+        text = word.decode("utf-8", "replace")
+        found = [self.whole[text]] if text in self.whole else []
+        for n, starts in self.starts:
+            if len(text) < n:
+                break
+            start = text[:n]
+            if start in starts:
+                found.append(starts[start])
+        self[word] = out = tuple(found)
+        return out
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, ascending, and how often they occur."""
@@ -155,13 +163,13 @@ def unit(terms: np.ndarray, counts: np.ndarray, importance: np.ndarray) -> tuple
     return terms[some], weights[some] / max(1e-300, float(np.sqrt((weights**2).sum())))
 
 
-def importance_of(df: np.ndarray, n_docs: int, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """idf over all documents times phi squared over the examples, less what chance alone gives (1 / (n - 1), the usual correction
-    for bias); toxic and clean count the examples that hold each term."""
+def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Phi squared of term and class over the examples, less what chance alone gives (1 / (n - 1), the usual correction for bias);
+    toxic and clean count the examples that hold each term."""
     n, held = n_toxic + n_clean, toxic + clean
     apart = (toxic * float(n_clean) - clean * float(n_toxic)) ** 2
     phi2 = apart / np.maximum(1.0, float(n_toxic) * n_clean * held * (n - held))
-    return (np.log((1 + n_docs) / (1 + df)) + 1) * np.maximum(0.0, phi2 - 1 / max(1, n - 1))
+    return np.maximum(0.0, phi2 - 1 / max(1, n - 1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -221,14 +229,15 @@ def build_index(docs: DataFrame, labels: DataFrame) -> Index | None:
         return None
     found = found.where(F.col("term").isNotNull()).join(F.broadcast(alone.select("doc_id")), "doc_id")
     stats = found.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).toArrow()  # the terms of the sample
-    names = stats["term"].to_pylist()
-    vocabulary = {t: k for k, t in enumerate(names)}
     toxic, held = (stats[c].to_numpy().astype(np.float64) for c in ("a", "n"))
-    numbers = docs.sparkSession.createDataFrame(pa.table({"term": stats["term"], "_no": pa.array(np.arange(len(names), dtype=np.int32))}))
+    totals = Counter(chosen.values())
+    phi2 = telling(toxic, held - toxic, totals[1], totals[0])
+    names = stats["term"].filter(pa.array(phi2 > 0))  # all others would add nothing to a cosine
+    vocabulary = {t: k for k, t in enumerate(names.to_pylist())}
+    numbers = docs.sparkSession.createDataFrame(pa.table({"term": names, "_no": pa.array(np.arange(len(names), dtype=np.int32))}))
     postings = found.join(F.broadcast(numbers), "term").select("doc_id", "_no", F.col("tf").cast("int")).toArrow()
     df, n_docs = document_frequencies(docs, vocabulary)
-    totals = Counter(chosen.values())
-    importance = importance_of(df, n_docs, toxic, held - toxic, totals[1], totals[0])
+    importance = (np.log((1 + n_docs) / (1 + df)) + 1) * phi2[phi2 > 0]
     return indexed(chosen, shares, vocabulary, importance, *(c.to_numpy() for c in postings.columns))
 
 
@@ -240,10 +249,11 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
         lookup, sums = WordTerms(vocabulary), np.zeros(len(vocabulary), np.int64)
         n = 0
         for batch in arrow_batches(batches):
+            found: list[int] = []
             for text in batch.column("text").to_pylist():
                 n += 1
-                found = {t for word in set(words_of(text)) for t in lookup[word]}
-                sums[list(found)] += 1
+                found += {t for word in set(words_of(text)) for t in lookup[word]}
+            sums += np.bincount(np.array(found, np.int64), minlength=len(sums))
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([n, *sums[some]], pa.int64())], ["term", "n"])
 
@@ -260,13 +270,8 @@ def indexed(
     doc_ids: np.ndarray, terms: np.ndarray, tfs: np.ndarray,
 ) -> Index:
     """The index of the examples chosen (doc_id -> label) from the postings (doc_ids, terms, tfs), with its curve fitted."""
-    some = importance > 0  # all others would add nothing to a cosine
-    number = np.cumsum(some) - 1
-    vocabulary = {t: int(number[k]) for t, k in vocabulary.items() if some[k]}
-    doc_ids, terms, tfs = (x[some[terms]] for x in (doc_ids, terms, tfs))
-    terms, importance = number[terms], importance[some]
     cut = np.lexsort((terms, doc_ids))
-    doc_ids, terms, tfs = doc_ids[cut], terms[cut], tfs[cut]
+    doc_ids, terms, tfs = doc_ids[cut], terms[cut].astype(np.int64), tfs[cut]
     owners, starts = np.unique(doc_ids, return_index=True)
     vectors = {}
     for owner, at, end in zip(owners.tolist(), starts.tolist(), [*starts[1:].tolist(), len(doc_ids)], strict=True):
