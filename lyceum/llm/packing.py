@@ -9,6 +9,7 @@ the pieces by their rank among pieces of equal length, in Spark.
 
 from __future__ import annotations
 
+import random
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -147,6 +148,19 @@ def bound(stock: np.ndarray, capacity: int) -> int:
     return best
 
 
+def filled_up(state: tuple, capacity: int, gap: int, filling: dict[int, int]) -> tuple:
+    """The state (stock left, patterns so far as (earlier, pattern), sequences, waste) after the largest length left was filled up
+    with this completion, as often as stock lasts."""
+    stock, made, n, waste = state
+    largest = int(np.flatnonzero(stock)[-1])
+    whole = filling | {largest: filling.get(largest, 0) + 1}
+    times = min(int(stock[x]) // c for x, c in whole.items())
+    after = stock.copy()
+    for x, c in whole.items():
+        after[x] -= times * c
+    return after, (made, (times, whole)), n + times, waste + times * gap
+
+
 def pack_histogram(
     counts: dict[int, int], capacity: int = CAPACITY, tries: int = TRIES, width: int = 3
 ) -> list[tuple[int, dict[int, int]]]:
@@ -154,7 +168,9 @@ def pack_histogram(
 
     Depth-first branch and bound: the first descent takes the best completion each time and is the first incumbent;
     then up to `width` completions are tried at each step, last steps first, until the lower bound is met, every branch
-    is pruned or `tries` completions were looked at. A branch ends when its waste leaves no room below the incumbent.
+    is pruned or `tries` completions were looked at. A branch ends when its waste leaves no room below the incumbent. What is
+    decided early is changed last that way, so as many completions again are tried in fresh descents, each of which mostly
+    takes the best completion and sometimes (by a seeded generator) a later one.
     """
     stock = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
@@ -162,28 +178,33 @@ def pack_histogram(
     goal = bound(stock, capacity)
     volume = int((stock * np.arange(capacity + 1)).sum())
     best, best_n = None, 1 << 62
-    stack = [(stock, None, 0, 0)]  # stock left, patterns so far as (earlier, pattern), sequences, waste
-    while stack and best_n > goal and (tries > 0 or best is None):
-        stock, made, n, waste = stack.pop()
-        if waste > (best_n - 1) * capacity - volume:
-            continue
-        filled = np.flatnonzero(stock)
-        if not len(filled):
-            best, best_n = made, n
-            continue
-        largest = int(filled[-1])
+
+    def fillings(stock: np.ndarray, most: int) -> list[tuple[int, dict[int, int]]]:
+        largest = int(np.flatnonzero(stock)[-1])
         rest = stock.copy()
         rest[largest] -= 1
-        tries -= 1
-        states = []
-        for gap, filling in completions(capacity - largest, rest)[:width] or [(capacity - largest, {})]:
-            whole = filling | {largest: filling.get(largest, 0) + 1}
-            times = min(int(stock[x]) // c for x, c in whole.items())
-            after = stock.copy()
-            for x, c in whole.items():
-                after[x] -= times * c
-            states.append((after, (made, (times, whole)), n + times, waste + times * gap))
-        stack += reversed(states)
+        return completions(capacity - largest, rest)[:most] or [(capacity - largest, {})]
+
+    root = (stock, None, 0, 0)
+    stack, left = [root], tries
+    while stack and best_n > goal and (left > 0 or best is None):
+        state = stack.pop()
+        if state[3] > (best_n - 1) * capacity - volume:
+            continue
+        if not state[0].any():
+            best, best_n = state[1], state[2]
+            continue
+        left -= 1
+        stack += [filled_up(state, capacity, *f) for f in reversed(fillings(state[0], width))]
+    chance, left = random.Random(0), tries
+    while best_n > goal and left > 0:
+        state = root
+        while state[0].any() and state[3] <= (best_n - 1) * capacity - volume:
+            found = fillings(state[0], 4 * width)
+            state = filled_up(state, capacity, *found[min(int(chance.expovariate(1.2)), len(found) - 1)])
+            left -= 1
+        if not state[0].any() and state[2] < best_n:
+            best, best_n = state[1], state[2]
     patterns = []
     while best:
         best, pattern = best
