@@ -8,10 +8,12 @@ from lyceum.llm.bpe import encode_digest
 from lyceum.llm.fingerprints import fingerprint_documents
 from lyceum.llm.line_dedup import line_dedup_digest
 from lyceum.llm.packing import pack_documents
+from lyceum.llm.phrases import phrases
 from lyceum.llm.pii import pseudonym_digest
 from lyceum.llm.quality import quality_digest
 from lyceum.llm.sharding import shard_documents
 from lyceum.llm.simhash import near_group_digest
+from lyceum.llm.spelling import spelling_variants
 from lyceum.llm.toxicity import toxicity_digest
 from lyceum.llm.training_order import order_digest
 
@@ -63,7 +65,15 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_ledger, op3_line_dedup, op4_training_order, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest)}
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(documents(spark, sf_dir))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_ledger, op3_line_dedup, op4_training_order, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest, op12_phrase_collocations, op13_spelling_variants)}
 
 SQL = {}
 
@@ -116,3 +126,27 @@ FROM (SELECT *, CASE failed_rules WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_
              WHEN 16 THEN 'shouting' WHEN 32 THEN 'exclamations' WHEN 64 THEN 'word_length' WHEN 128 THEN 'few_letters'
              WHEN 256 THEN 'digits' WHEN 512 THEN 'stutter' END AS sole_rule FROM bits)
 """
+
+SQL["op12_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, words[i:i + k - 1] AS g, count(*) AS f
+      FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w), (VALUES (1), (2), (3)) t(k)
+      WHERE i + k - 1 <= len(words) GROUP BY ALL),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r,
+                CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+         FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c
+         JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:len(c.g)]),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, g[1:2] AS g, a FROM c WHERE len(g) = 3
+                                             UNION ALL SELECT lang, g[2:3], a FROM c WHERE len(g) = 3) GROUP BY lang, g),
+kept AS (SELECT k.lang, array_to_string(k.g, ' ') AS phrase, k.a, k.l, k.r, k.score
+         FROM weakest k LEFT JOIN longer ON longer.lang = k.lang AND longer.g = k.g WHERE 100 * coalesce(longer.a, 0) < 50 * k.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+"""
