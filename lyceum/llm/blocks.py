@@ -46,6 +46,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), dtype="<i4")
 
 
+def packed_long(numbers: np.ndarray) -> bytes:
+    """Integers of 64 bits: their lower halves, then their upper ones, which are mostly zero and take no room."""
+    wide = np.ascontiguousarray(numbers, dtype=np.int64)
+    return packed(np.concatenate([(wide & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (wide >> 32).astype(np.int32)]))
+
+
+def unpacked_long(data: bytes) -> np.ndarray:
+    low, high = unpacked(data).reshape(2, -1)
+    return high.astype(np.int64) << 32 | low.view(np.uint32).astype(np.int64)
+
+
 def radix_order(*digits: np.ndarray) -> np.ndarray:
     """The stable order of rows by arrays of unsigned 32-bit numbers, the first array first: least significant 16 bits first, each
     pass a counting sort (numpy's stable sort of 16-bit numbers)."""
@@ -59,6 +70,20 @@ def radix_order(*digits: np.ndarray) -> np.ndarray:
     return order
 
 
+def equal_runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by the columns (32 bits, unsigned), and where in it the runs of equal rows start. No rows: no runs."""
+    order = radix_order(*columns)
+    changes = [c[order][1:] != c[order][:-1] for c in columns]
+    return order, np.flatnonzero(np.concatenate([[True] * (len(order) > 0), np.any(changes, axis=0)]))
+
+
+def run_numbers(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each row the number of its run."""
+    numbers = np.empty(len(order), dtype=np.int64)
+    numbers[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+    return numbers
+
+
 def word_blocks(docs: DataFrame, words_of: Callable[..., tuple[bytes, list[bytes], bool]]) -> DataFrame:
     """The blocks of docs (doc_id and further columns), stored.
 
@@ -142,6 +167,9 @@ def ranked(counts: DataFrame) -> tuple[DataFrame, Ranks]:
     return words, Ranks(steps["first"].to_numpy(np.int64), n, mass[:-1], int(mass[-1]), int(size.sum()))
 
 
+CODED = "block long, doc_ids array<long>, flags array<boolean>, lengths array<long>, tokens binary"
+
+
 def encoded(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """(block, doc_ids, flags, lengths, tokens) with global ids for local ones, stored.
 
@@ -163,4 +191,4 @@ def encoded(blocks: DataFrame, words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([packed(to[local])], pa.binary())], ["block", "doc_ids", "flags", "lengths", "tokens"])
 
     slim = blocks.select("block", "doc_ids", "flags", "lengths", "tokens").join(found, "block", "left")
-    return stored(slim.mapInArrow(translate, "block long, doc_ids array<long>, flags array<boolean>, lengths array<long>, tokens binary"))
+    return stored(slim.mapInArrow(translate, CODED))

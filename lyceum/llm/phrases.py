@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lyceum.llm.blocks import Ranks, encoded, packed, radix_order, ranked, unpacked, word_blocks, word_counts
+from lyceum.llm.blocks import Ranks, encoded, equal_runs, packed, ranked, unpacked, word_blocks, word_counts
 from lyceum.llm.shared import narrow, stored
 
 #: Occurrences of a phrase, at least.
@@ -43,13 +43,11 @@ def pieces(doc_id: int | None, lang: str | None, text: bytes | None) -> tuple[by
 
 def counted_runs(columns: tuple[np.ndarray, ...], n: np.ndarray | None = None) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """The different keys in order, each with the number of its rows, or the sum of their n."""
-    if not len(columns[0]):
+    order, starts = equal_runs(*columns)
+    if not len(starts):
         return columns, np.empty(0, dtype=np.int64)
-    order = radix_order(*columns)
-    columns = tuple(c[order] for c in columns)
-    starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
     sums = np.diff(np.append(starts, len(order))) if n is None else np.add.reduceat(n[order], starts)
-    return tuple(c[starts] for c in columns), sums
+    return tuple(c[order[starts]] for c in columns), sums
 
 
 def ngrams(ids: np.ndarray) -> tuple[np.ndarray, ...]:

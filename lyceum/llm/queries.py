@@ -14,6 +14,7 @@ from lyceum.llm.quality import quality_digest
 from lyceum.llm.sharding import shard_documents
 from lyceum.llm.simhash import near_group_digest
 from lyceum.llm.spelling import spelling_variants
+from lyceum.llm.suffix_tree import suffix_tree_scores
 from lyceum.llm.toxicity import toxicity_digest
 from lyceum.llm.training_order import order_digest
 
@@ -65,6 +66,10 @@ def op10_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op11_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(documents(spark, sf_dir))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(documents(spark, sf_dir))
 
@@ -73,7 +78,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_ledger, op3_line_dedup, op4_training_order, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest, op12_phrase_collocations, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality_ledger, op3_line_dedup, op4_training_order, op5_toxic_neighbours, op6_feistel_shards, op7_best_fit_packing, op8_feistel_pseudonyms, op9_simhash_groups, op10_exact_digest, op11_suffix_tree_scores, op12_phrase_collocations, op13_spelling_variants)}
 
 SQL = {}
 
