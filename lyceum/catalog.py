@@ -251,6 +251,32 @@ def page_data_images(spark, sf_dir):
     return found.select("o_orderkey", F.col("url").alias("link"))
 
 
+@query("""SELECT o_orderkey, 'kept ' || o_orderstatus || chr(10) || 'after' AS text, CAST(NULL AS VARCHAR) AS error, CAST(3 AS BIGINT) AS odd,
+  CASE WHEN o_custkey % 2 = 0 THEN 'chart.png' ELSE NULL END AS image FROM orders""")
+def page_broken_markup(spark, sf_dir):
+    """Pages with a broken marked section, an end tag without its element and a width that is no number: rows like all others."""
+    width = F.when(F.pmod("o_custkey", F.lit(2)) == 0, "²").otherwise("20")
+    html = joined(
+        "<p>kept ", F.col("o_orderstatus"), "</p><![foo[x]]></div><img src='chart.png' alt='Chart' width='", width, "'><p>after</p>",
+        F.when(F.pmod("o_orderkey", F.lit(2)) == 0, "<!-- never <!--").otherwise("<"),
+    )
+    pages = H.parse_pages(table(spark, sf_dir, "orders").withColumn("html", html), "text", "images", "error", "odd")
+    return pages.select("o_orderkey", "page.text", "page.error", "page.odd", F.get("page.images", F.lit(0)).alias("image"))
+
+
+@query("""SELECT o_orderkey, CAST(i AS INTEGER) AS table_index,
+  (['<table class="grid"><tr><td title="a &amp; b">' || o_orderkey || '<table><tr><td>' || o_orderstatus || ' &lt;x&gt;<br/></td></tr></table></td></tr></table>',
+    '<table><tr><td>' || o_orderstatus || ' &lt;x&gt;<br/></td></tr></table>'])[i + 1] AS html,
+  (['' || o_orderkey || chr(10) || o_orderstatus || ' <x>', o_orderstatus || ' <x>'])[i + 1] AS text FROM orders, range(0, 2) r(i)""")
+def page_table_html(spark, sf_dir):
+    """The markup of every table of a page, nested and unclosed ones too."""
+    html = joined(
+        "<p>x<TABLE class='grid'><tr><td title='a & b'>", F.col("o_orderkey"), "<table><tr><td>", F.col("o_orderstatus"), " &lt;x><br></table></td>",
+    )
+    pages = H.parse_pages(table(spark, sf_dir, "orders").withColumn("html", html), "tables", "table_html")
+    return H.table_documents(pages, "o_orderkey").select("o_orderkey", "table_index", "html", "text")
+
+
 # --- store -----------------------------------------------------------------------------------------------------------
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
 def scan_filter(spark, sf_dir):

@@ -5,9 +5,6 @@ Everything that follows from these (table rows as maps, link rules, typing) is d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,82 +12,10 @@ from pyspark.sql import types as T
 
 from lyceum.functions import fixed
 from lyceum.functions import url as U
+from lyceum.operators.markup import Node, tree
 
 BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
 DROPPED = ("script", "style", "nav", "footer", "header")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-#: Elements whose strings are no text of the page.
-SILENT = ("script", "style", "template")
-
-
-class Node:
-    __slots__ = ("name", "attrs", "items", "parent")
-
-    def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
-        self.name, self.attrs, self.items, self.parent = name, attrs, [], parent
-
-    def walk(self) -> Iterator[Node]:
-        """All elements below, in document order."""
-        stack = [x for x in reversed(self.items) if isinstance(x, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [x for x in reversed(node.items) if isinstance(x, Node)]
-
-    def find_all(self, *names: str) -> list[Node]:
-        return [n for n in self.walk() if n.name in names]
-
-    def strings(self) -> Iterator[str]:
-        stack = list(reversed(self.items))
-        while stack:
-            item = stack.pop()
-            if isinstance(item, str):
-                yield item
-            elif item.name not in SILENT:
-                stack += reversed(item.items)
-
-    def text(self, between: str = "") -> str:
-        """Stripped strings, empty ones left out."""
-        return between.join(filter(None, map(str.strip, self.strings())))
-
-
-class _Tree(HTMLParser):
-    """Open elements are closed by their own end tag or that of an element around them, never by another start tag."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            values[name] = value or ""
-        node = Node(tag, values, self.at)
-        self.at.items.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.at = self.at.parent
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.name != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.items.append(data)
-
-
-def tree(html: str) -> Node:
-    parser = _Tree()
-    parser.feed(html)
-    parser.close()
-    return parser.root
 
 
 def without(root: Node, names: tuple[str, ...]) -> Node:
@@ -100,7 +25,7 @@ def without(root: Node, names: tuple[str, ...]) -> Node:
     while stack:
         old, new = stack.pop()
         for item in old.items:
-            if isinstance(item, str):
+            if not isinstance(item, Node):
                 new.items.append(item)
             elif item.name not in names:
                 child = Node(item.name, item.attrs, new)
@@ -109,10 +34,24 @@ def without(root: Node, names: tuple[str, ...]) -> Node:
     return copy
 
 
+#: Characters of text that a page may have through elements that stand in each other: unclosed ones do, and their texts come again.
+MAX_TEXT = 1 << 26
+
+
+def texts(nodes: list[Node], between: str = "") -> list[str]:
+    """The text of each node; fails beyond MAX_TEXT characters in all."""
+    out, total = [], 0
+    for node in nodes:
+        out.append(node.text(between))
+        total += len(out[-1])
+        if total > MAX_TEXT:
+            raise ValueError("the texts of nested elements are too large")
+    return out
+
+
 def block_text(node: Node) -> str:
     """Text of paragraphs, headings and list items by line (nested ones come again); else all strings by line."""
-    lines = [t for n in node.find_all(*BLOCKS) if (t := n.text())]
-    return "\n".join(lines) or node.text("\n")
+    return "\n".join(filter(None, texts(node.find_all(*BLOCKS)))) or node.text("\n")
 
 
 def main_part(root: Node) -> Node | None:
@@ -133,39 +72,51 @@ def table_cells(table: Node) -> tuple[list[str], list[list[str]]]:
     first row is no data; rows without cells are left out."""
     rows = table.find_all("tr")
     head = next(iter(table.find_all("thead")), None)
-    headers = [c.text() for c in head.find_all("th")] if head else []
+    headers = texts(head.find_all("th")) if head else []
     if not headers and rows:
-        headers = [c.text() for c in rows[0].find_all("th") or rows[0].find_all("td")]
-    cells = [[c.text() for c in r.find_all("td", "th")] for r in rows[bool(headers) :]]
+        headers = texts(rows[0].find_all("th") or rows[0].find_all("td"))
+    cells = [texts(r.find_all("td", "th")) for r in rows[bool(headers) :]]
     return headers, [r for r in cells if r]
 
 
-def is_data_image(image: Node) -> bool:
-    """No small image, and a word for charts or data in its description or in the text of up to three elements around it."""
+def is_data_image(image: Node, known: dict[int, bool]) -> bool:
+    """No small image, and a word for charts or data in its description or in the text of up to three elements around it. known
+    keeps what was found out about elements of this page."""
     for side in ("width", "height"):
         digits = image.attrs.get(side, "").strip()
-        if digits.isdigit() and int(digits) < 200:
+        if digits.isdecimal() and len(digits) < 10 and int(digits) < 200:
             return False
-    near = [image.attrs.get(k, "").lower() for k in ("alt", "title", "class")]
+    if any(word in image.attrs.get(k, "").lower() for word in fixed.IMAGE_INDICATORS for k in ("alt", "title", "class")):
+        return True
     node = image.parent
     for _ in range(3):
         if node is None or not node.name:
             break
-        near.append("".join(node.strings()).lower())
+        if id(node) not in known:
+            near = "".join(node.strings()).lower()
+            known[id(node)] = any(word in near for word in fixed.IMAGE_INDICATORS)
+        if known[id(node)]:
+            return True
         node = node.parent
-    return any(word in text for word in fixed.IMAGE_INDICATORS for text in near)
+    return False
 
 
-FIELDS = ("text", "main_text", "plain", "tables", "links", "images")
+#: error: what kept a page from being read, null if nothing did. odd: places of the markup that had to be guessed at.
+FIELDS = ("text", "main_text", "plain", "tables", "table_html", "links", "images", "error", "odd")
 
 
 def read_page(html: str | None, wanted: tuple[str, ...] = FIELDS) -> dict | None:
-    """The wanted fields of a page; nothing is worked out for others."""
+    """The wanted fields of a page; nothing is worked out for others. A page that can't be read has its error and empty fields."""
     if html is None:
         return None
-    root = tree(html)
-    bare = without(root, DROPPED) if "text" in wanted or "main_text" in wanted else root
-    return {name: _READERS[name](root, bare) for name in wanted}
+    try:
+        root, odd = tree(html)
+        bare = without(root, DROPPED) if "text" in wanted or "main_text" in wanted else root
+        own = {"error": None, "odd": odd}
+        return {name: own[name] if name in own else _READERS[name](root, bare) for name in wanted}
+    except (ValueError, MemoryError) as e:
+        none = {"text": "", "main_text": "", "plain": "", "error": f"{type(e).__name__}: {e}", "odd": None}
+        return {name: none.get(name, []) for name in wanted}
 
 
 def _main_text(root: Node, bare: Node) -> str:
@@ -181,13 +132,29 @@ def _tables(root: Node, bare: Node) -> list[dict]:
     return tables
 
 
+def _table_html(root: Node, bare: Node) -> list[str]:
+    out, total = [], 0
+    for table in root.find_all("table"):
+        out.append(table.html())
+        total += len(out[-1])
+        if total > MAX_TEXT:
+            raise ValueError("nested tables are too large")
+    return out
+
+
+def _images(root: Node, bare: Node) -> list[str]:
+    known: dict[int, bool] = {}
+    return [i.attrs["src"] for i in root.find_all("img") if i.attrs.get("src") and is_data_image(i, known)]
+
+
 _READERS = {
     "text": lambda root, bare: block_text(bare),
     "main_text": _main_text,
     "plain": lambda root, bare: "".join(root.strings()),
     "tables": _tables,
     "links": lambda root, bare: [{"href": a.attrs["href"], "text": a.text()} for a in root.find_all("a") if a.attrs.get("href")],
-    "images": lambda root, bare: [i.attrs["src"] for i in root.find_all("img") if i.attrs.get("src") and is_data_image(i)],
+    "table_html": _table_html,
+    "images": _images,
 }
 _strings, _texts = pa.list_(pa.string()), T.ArrayType(T.StringType())
 #: Field -> its Arrow type and its Spark type.
@@ -206,13 +173,16 @@ _TYPES = {
         pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())])),
         T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())])),
     ),
+    "table_html": (_strings, _texts),
     "images": (_strings, _texts),
+    "error": (pa.string(), T.StringType()),
+    "odd": (pa.int64(), T.LongType()),
 }
 
 
 def parsed(html: Column, *wanted: str) -> Column:
-    """struct of the wanted fields of a page, all of FIELDS if none is named; null for null. Broken HTML is read as far as it
-    goes."""
+    """struct of the wanted fields of a page, all of FIELDS if none is named; null for null. Any string is read; the few that are too
+    large in the end give a struct with their error, never a failed task."""
     names = wanted or FIELDS
     arrow = pa.struct([(n, _TYPES[n][0]) for n in names])
 
@@ -302,7 +272,15 @@ def image_links(pages: DataFrame, key: str, base: str = "url", page: str = "page
 
 
 def table_documents(pages: DataFrame, key: str, page: str = "page") -> DataFrame:
-    """(key, table_index, text, headers, raw_rows): one row for each table of a page."""
-    return each_of(pages, f"{page}.tables", "t", key).select(
-        key, "t.table_index", "t.text", "t.headers", "t.raw_rows"
+    """(key, table_index, text, headers, raw_rows, html): one row for each table of a page; nested ones are rows of their own and part
+    of the tables around them."""
+    both = F.arrays_zip(F.col(f"{page}.tables").alias("t"), F.col(f"{page}.table_html").alias("html"))
+    return each_of(pages, both, "t", key).select(
+        key, "t.t.table_index", "t.t.text", "t.t.headers", "t.t.raw_rows", "t.html"
     )
+
+
+def page_errors(pages: DataFrame, key: str, page: str = "page") -> DataFrame:
+    """(key, error, odd): the pages that could not be read, or only by guessing."""
+    found = pages.select(key, F.col(f"{page}.error").alias("error"), F.col(f"{page}.odd").alias("odd"))
+    return found.where(F.col("error").isNotNull() | (F.col("odd") > 0))

@@ -65,12 +65,13 @@ def process(raw: DataFrame, processed: DataFrame, at: Column, name: str | None =
 
 
 def embedded(raw: DataFrame) -> DataFrame:
-    """Raw documents of the tables in raw pages (with their parsed page), each naming its page as parent."""
-    tables = H.each_of(raw, "page.tables", "t", "raw_id", "college_name", "url", "extraction_date")
+    """Raw documents of the tables in raw pages (with their parsed page), each with its own markup and naming its page as parent."""
+    both = F.arrays_zip(F.col("page.tables").alias("t"), F.col("page.table_html").alias("html"))
+    tables = H.each_of(raw, both, "t", "raw_id", "college_name", "url", "extraction_date")
     return tables.select(
-        F.concat_ws("-", "raw_id", F.col("t.table_index").cast("string")).alias("raw_id"), "college_name", "url",
-        F.lit("table").alias("page_type"), F.col("t.text").alias("raw_content"), "extraction_date",
-        F.col("raw_id").alias("parent_id"), F.col("t.table_index").alias("table_index"),
+        F.concat_ws("-", "raw_id", F.col("t.t.table_index").cast("string")).alias("raw_id"), "college_name", "url",
+        F.lit("table").alias("page_type"), F.col("t.t.text").alias("raw_content"), F.col("t.html").alias("raw_html"), "extraction_date",
+        F.col("raw_id").alias("parent_id"), F.col("t.t.table_index").alias("table_index"),
     )
 
 

@@ -33,7 +33,7 @@ def test_text_rules():
 
 
 def test_tables_without_th_use_their_first_row():
-    assert H.table_cells(H.tree("<table><tr><td>a</td></tr><tr><td>b</td></tr></table>").find_all("table")[0]) == (["a"], [["b"]])
+    assert H.table_cells(H.tree("<table><tr><td>a</td></tr><tr><td>b</td></tr></table>")[0].find_all("table")[0]) == (["a"], [["b"]])
     assert H.read_page("<table><tr><td>a</td></tr></table>")["tables"][0]["raw_rows"] == []
 
 
