@@ -1,6 +1,6 @@
 """Blocks of dictionary-encoded words: what operators on n-grams of words share.
 
-A block is a run of documents of some 16 MB (a longer document is a block of its own), with its own dictionary. Only the entries of
+A block is a run of documents of some 6 MB (a longer document is a block of its own), with its own dictionary. Only the entries of
 the dictionaries, a row for each block and word, are shuffled to count words over the corpus and to bring their global ids back, so
 neither a text nor the corpus' dictionary is ever broadcast or held by one task. Global ids are ranks by descending count: the count
 of an id, and how many occurrences stand before it, follow from a table with one row per different count (`Ranks`). Words that occur
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lyceum.llm.shared import arrow_batches, numbered, stored
 
 #: Bytes of text from which on a block is closed.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 #: The id of a word that the corpus' dictionary does not hold.
 NO_WORD = -1
