@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lyceum.functions import fixed
+from lyceum.functions.urljoin import resolved
 
 #: scheme, authority, path
 _SHAPE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
@@ -96,25 +95,17 @@ def to_file_name(url: Column, ext: str = "html") -> Column:
     return F.concat(F.when(F.length(flat) > 100, short).otherwise(flat), F.lit(end))
 
 
-@F.pandas_udf(T.StringType())
-def _resolved(base: pd.Series, url: pd.Series) -> pd.Series:
-    from urllib.parse import urljoin
-
-    return pd.Series([None if b is None or u is None else urljoin(b, u) for b, u in zip(base, url, strict=True)])
-
-
 def joined(base: Column, url: Column) -> Column:
-    """url against base. Absolute, scheme-relative and plain root-relative URLs stay in the JVM; all others are resolved in
-    Arrow batches, which sees nulls for the rows it need not do."""
+    """url against base. Absolute, scheme-relative and root-relative URLs without dots are put together at once, all others by
+    `resolved`."""
     root = F.concat(scheme(base), F.lit("://"), domain(base))
-    plain = ~url.rlike(r"(^|/)\.{1,2}(/|$|[?#])")
+    plain = ~url.rlike(r"(^|/)\.{1,2}(/|$|[?#;])|;(/|$|[?#])|[?#]$|\?#|[\x00-\x20\[\]]") & base.rlike(r"^https?://[^\x00-\x20\[\]/?#]+([/?#][^\t\r\n]*)?$")
     easy = (
-        F.when(url.rlike(r"^(?:https?)://[^/?#]+/") & plain, url)
-        .when(url.startswith("//") & plain, F.concat(scheme(base), F.lit(":"), url))
-        .when(url.rlike(r"^/(?!/)") & plain & (domain(base) != ""), F.concat(root, url))
+        F.when(plain & url.rlike(r"^https?://[^/?#]+/"), url)
+        .when(plain & url.rlike("^//[^/?#]+/"), F.concat(scheme(base), F.lit(":"), url))
+        .when(plain & url.rlike(r"^/(?!/)"), F.concat(root, url))
     )
-    hard = F.when(easy.isNull(), url)
-    return F.coalesce(easy, _resolved(base, hard))
+    return F.coalesce(easy, resolved(base, url))
 
 
 def link_type(url: Column, current: Column) -> Column:
