@@ -246,7 +246,8 @@ def spelling_variants(docs: DataFrame, letters: int = LETTERS, least: int = LEAS
     Null and empty texts have no words, an empty table gives no rows; rows that share a doc_id count each. Equal counts of near words
     are decided by code-point order.
     """
-    words = stored(words_of(docs, letters, least))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = stored(words_of(docs, letters, least).repartition(partitions))
     near = stored(with_near(words))
     is_form = -F.col("best.less") >= times * F.col("n")
     formed = near.select("word", F.when(is_form, F.col("best.word")).alias("form"), "n", "n_near", F.when(is_form, -F.col("best.less")).alias("form_n"))
