@@ -18,12 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lyceum.functions.urljoin import let
 from lyceum.llm.sharding import feistel, permuted
 
 ROUNDS = 8
 #: Steps of cycle-walking of secrets: a walk goes on with a chance of 6 in 26 for each letter at most.
 WALK = 32
 FIRST_DAY, DAYS = "1900-01-01", 73049
+#: Steps of cycle-walking of dates that only the month-first order can read: six in ten days are such.
+DATE_WALK = 64
+#: Groups of a run of digits that are scanned for cards in one fold.
+RUN_PART = 128
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_COUNTRIES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 #: Kind -> pattern, in order of precedence; each is also what its match must fully look like.
 KINDS = {
@@ -73,14 +80,17 @@ def shifted(char: Column, by: Column, letters: int) -> Column:
 def permuted_text(value: Column, key: int, letters: int = 26) -> Column:
     """A keyed bijection among the strings with the same character classes: in turns, one half moves each character of the
     other by a hash of itself and the place."""
-    half = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r"))
 
     def turn(s: Column, k: Column) -> Column:
         moved = F.transform(chars(s["l"]), lambda c, i: shifted(c, F.xxhash64(s["r"], k, i, F.lit(key)), letters))
         return F.struct(s["r"].alias("l"), F.array_join(moved, "").alias("r"))
 
-    return F.aggregate(F.array(*(F.lit(k) for k in range(ROUNDS))), start, turn, lambda s: F.concat(s["l"], s["r"]))
+    def of(whole: Column) -> Column:
+        half = F.floor(F.length(whole) / 2).cast("int")
+        start = F.struct(F.substring(whole, F.lit(1), half).alias("l"), F.substring(whole, half + 1, F.length(whole)).alias("r"))
+        return F.aggregate(F.array(*(F.lit(k) for k in range(ROUNDS))), start, turn, lambda s: F.concat(s["l"], s["r"]))
+
+    return let(value, of)
 
 
 def digits_of(value: Column) -> Column:
@@ -90,79 +100,103 @@ def digits_of(value: Column) -> Column:
 def with_digits(value: Column, digits: Column) -> Column:
     """value with its digits replaced in turn; separators stay."""
 
-    def at(c: Column, i: Column) -> Column:
-        nth = F.length(digits_of(F.substring(value, F.lit(1), i + 1)))
-        return F.when(c.between("0", "9"), F.substring(digits, nth, F.lit(1))).otherwise(c)
+    def of(pieces: Column) -> Column:
+        """pieces: what stands before each digit, and behind the last one."""
+        before = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+        return F.concat(F.array_join(F.zip_with(before, chars(digits), lambda gap, digit: F.concat(gap, digit)), ""), F.element_at(pieces, -1))
 
-    return F.array_join(F.transform(chars(value), at), "")
+    return let(F.split(value, "[0-9]", -1), of)
 
 
 def luhn(digits: Column, doubled_last: bool) -> Column:
     """Digit sum modulo 10 in which every other digit counts double, from the last or the one before it."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int")
-        twice = F.pmod(i, F.lit(2)) == (0 if doubled_last else 1)
-        return total + F.when(twice, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
+    def of(whole: Column) -> Column:
+        n = F.length(whole)
+
+        def add(total: Column, i: Column) -> Column:
+            d = F.substring(whole, n - i, F.lit(1)).cast("int")
+            twice = F.pmod(i, F.lit(2)) == (0 if doubled_last else 1)
+            return total + F.when(twice, F.get(F.lit([0, 2, 4, 6, 8, 1, 3, 5, 7, 9]), d)).otherwise(d)
 
-    return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add), F.lit(10))
+        return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add), F.lit(10))
+
+    return let(digits, of)
 
 
 def new_card(value: Column, key: int) -> Column:
     """value, which has a right check digit, permuted."""
-    digits = digits_of(value)
-    n = F.length(digits)
-    inner = permuted_text(F.substring(digits, F.lit(2), n - 2), key)
-    body = F.concat(F.substring(digits, 1, 1), inner)
-    check = F.pmod(F.lit(10) - luhn(body, True), F.lit(10)).cast("string")
-    return with_digits(value, F.concat(body, check))
+
+    def of(digits: Column) -> Column:
+        inner = permuted_text(F.substring(digits, F.lit(2), F.length(digits) - 2), key)
+        return F.concat(F.substring(digits, 1, 1), inner)
+
+    def checked(body: Column) -> Column:
+        return F.concat(body, F.pmod(F.lit(10) - luhn(body, True), F.lit(10)).cast("string"))
+
+    return let(value, lambda v: with_digits(v, let(let(digits_of(v), of), checked)))
 
 
 def new_cards(run: Column, key: int) -> Column:
-    """struct(n, new) of a run of digit groups: windows of whole groups with a right check digit are permuted, n of them.
+    """struct(cards, new) of a run of digit groups: windows of whole groups with a right check digit are permuted; cards has them.
 
     Of the windows at a group the first of CARD_LENGTHS is taken, from left to right; a window of another length than 16
-    gives way to one of 16 that starts inside it. A run without a window stays as it is.
+    gives way to one of 16 that starts inside it. A run without a window stays as it is. Windows are tested over the 19 digits
+    behind a group only, and a run is put together in parts of RUN_PART groups, so the work is proportional to its length.
     """
     groups = F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0))
 
     def windows(all_: Column) -> Column:
         """For each group, struct(rank, size) of its best window, rank 99 if it has none."""
+        none = F.struct(F.lit(99).alias("rank"), F.lit(0).alias("size"))
+
+        def behind(ahead: Column) -> Column:
+            """ahead: the digits of the next groups, 19 at most."""
 
-        def at(_: Column, i: Column) -> Column:
             def of(k: Column) -> Column:
-                digits = digits_of(F.array_join(F.slice(all_, i + 1, k), ""))
-                rank = F.array_position(F.lit(list(CARD_LENGTHS)), F.length(digits)).cast("int")
-                good = F.when(rank > 0, luhn(digits, False) == 0).otherwise(F.lit(False))
-                return F.struct(F.when(good, rank).otherwise(F.lit(99)).alias("rank"), k.alias("size"))
+                window = F.array_join(F.slice(ahead, F.lit(1), k), "")
+                return F.struct(F.array_position(F.lit(list(CARD_LENGTHS)), F.length(window)).cast("int").alias("rank"), k.alias("size"), window.alias("window"))
 
-            sizes = F.sequence(F.lit(1), F.least(F.lit(19), F.size(all_) - i))
-            return F.array_min(F.transform(sizes, of))
+            fitting = F.filter(F.transform(F.sequence(F.lit(1), F.size(ahead)), of), lambda w: w["rank"] > 0)
+            good = F.filter(fitting, lambda w: luhn(w["window"], False) == 0)
+            return F.coalesce(F.array_min(F.transform(good, lambda w: F.struct(w["rank"].alias("rank"), w["size"].alias("size")))), none)
 
-        return F.transform(all_, at)
+        def of(digits: Column) -> Column:
+            return F.transform(digits, lambda _, i: let(F.slice(digits, i + 1, F.lit(19)), behind))
+
+        return let(F.transform(all_, digits_of), of)
 
     def scan(all_: Column, best: Column) -> Column:
+        size = F.size(all_)
+
         def step(s: Column, i: Column) -> Column:
             b = F.get(best, i)
-            inside = F.slice(best, i + 2, b["size"] - 1)
+            inside = F.slice(best, i + 2, F.greatest(b["size"] - 1, F.lit(0)))
             whole = (b["rank"] == 1) | ~F.exists(inside, lambda x: x["rank"] == 1)
             free = (i >= s["next"]) & (b["rank"] < 99) & whole
-            card = F.transform(F.array(F.array_join(F.slice(all_, i + 1, b["size"]), "")), lambda x: new_card(x, key))[0]
-            plain = F.when(i >= s["next"], F.get(all_, i)).otherwise(F.lit(""))
-            return F.struct(
+            card = let(F.array_join(F.slice(all_, i + 1, b["size"]), ""), lambda x: new_card(x, key))
+            piece = F.when(free, card).when(i >= s["next"], F.get(all_, i)).otherwise("")
+            return let(piece, lambda p: F.struct(
                 F.when(free, i + b["size"]).otherwise(s["next"]).alias("next"),
-                (s["n"] + free.cast("int")).alias("n"),
-                F.concat(s["new"], F.when(free, card).otherwise(plain)).alias("new"),
-            )
+                F.when(free, F.concat(s["cards"], F.array(p))).otherwise(s["cards"]).alias("cards"),
+                F.concat(s["new"], F.array(p)).alias("new"),
+            ))
 
-        start = F.struct(F.lit(0).alias("next"), F.lit(0).alias("n"), F.lit("").alias("new"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(all_) - 1), start, step, lambda s: F.struct(s["n"], s["new"]))
+        none = F.array().cast("array<string>")
 
-    def of(all_: Column) -> Column:
-        return F.transform(F.array(windows(all_)), lambda best: scan(all_, best))[0]
+        def part(s: Column, at: Column) -> Column:
+            start = F.struct(s["next"].alias("next"), none.alias("cards"), none.alias("new"))
+            inside = F.sequence(at, F.least(at + RUN_PART, size) - 1)
+            return F.aggregate(inside, start, step, lambda x: F.struct(
+                x["next"].alias("next"), F.concat(s["cards"], F.array(x["cards"])).alias("cards"),
+                F.concat(s["new"], F.array(F.array_join(x["new"], ""))).alias("new"),
+            ))
 
-    return F.transform(F.array(groups), of)[0]
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<array<string>>").alias("cards"), none.alias("new"))
+        parts = F.sequence(F.lit(0), size - 1, F.lit(RUN_PART))
+        return F.aggregate(parts, start, part, lambda s: F.struct(F.flatten(s["cards"]).alias("cards"), F.array_join(s["new"], "").alias("new")))
+
+    return let(groups, lambda all_: let(windows(all_), lambda best: scan(all_, best)))
 
 
 def new_address(value: Column, key: int) -> Column:
@@ -175,7 +209,10 @@ def new_address(value: Column, key: int) -> Column:
 
 
 def new_date(value: Column, key: int) -> Column:
-    """Dates of 1900 to 2099, day first where both readings are valid; others stay as they are."""
+    """Dates of 1900 to 2099, day first where both readings are valid; others stay as they are.
+
+    A date that only the month-first order can read moves among such dates, so that no two dates get one text.
+    """
     separator = F.regexp_extract(value, "[./-]", 0)
     year_first = value.rlike("^[0-9]{4}")
     pad = F.length(value) == 10
@@ -189,17 +226,23 @@ def new_date(value: Column, key: int) -> Column:
 
     first = F.when(year_first, form("yyyy", "M", "d")).otherwise(form("d", "M", "yyyy"))
     second = F.when(year_first | (separator == "."), first).otherwise(form("M", "d", "yyyy"))
-    read = F.transform(
-        F.array(first, second), lambda f: F.struct(F.try_to_timestamp(value, f).cast("date").alias("day"), f.alias("form"))
-    )
     start = F.lit(FIRST_DAY).cast("date")
 
+    def read(form: Column, only_second: bool) -> Column:
+        return F.struct(F.try_to_timestamp(value, form).cast("date").alias("day"), form.alias("form"), F.lit(only_second).alias("walks"))
+
     def move(found: Column) -> Column:
         day = F.date_diff(found["day"], start).cast("long")
-        moved = F.date_add(start, permuted(day, DAYS, key).cast("int"))
+
+        def again(moved: Column, _: Column) -> Column:
+            ambiguous = found["walks"] & (F.dayofmonth(F.date_add(start, moved.cast("int"))) <= 12)
+            return F.when(ambiguous, permuted(moved, DAYS, key)).otherwise(moved)
+
+        steps = F.when(found["walks"], F.sequence(F.lit(1), F.lit(DATE_WALK))).otherwise(F.array().cast("array<int>"))
+        moved = F.date_add(start, F.aggregate(steps, permuted(day, DAYS, key), again).cast("int"))
         return F.when((day >= 0) & (day < DAYS), F.call_function("date_format", moved, found["form"]))
 
-    valid = F.filter(read, lambda x: x["day"].isNotNull())
+    valid = F.filter(F.array(read(first, False), read(second, True)), lambda x: x["day"].isNotNull())
     return F.coalesce(F.get(F.transform(F.slice(valid, 1, 1), move), F.lit(0)), value)
 
 
@@ -242,11 +285,14 @@ def new_iban(value: Column, key: int) -> Column:
 
 
 def new_phone(value: Column, key: int) -> Column:
-    """The last ten digits move; of shorter numbers with a plus all but the first."""
-    digits = digits_of(value)
-    lead = F.greatest(F.length(digits) - 10, F.when(value.contains("+"), F.lit(1)).otherwise(F.lit(0)))
-    moved = F.concat(F.substring(digits, F.lit(1), lead), permuted_text(F.substring(digits, lead + 1, F.lit(10)), key))
-    return with_digits(value, moved)
+    """The last ten digits move; of numbers with a plus all behind the country code, if these are fewer."""
+
+    def of(digits: Column) -> Column:
+        code = F.when(F.substring(digits, 1, 1).isin("1", "7"), 1).when(F.substring(digits, 1, 2).isin(*TWO_DIGIT_COUNTRIES), 2).otherwise(3)
+        lead = F.greatest(F.length(digits) - 10, F.when(value.contains("+"), code).otherwise(0))
+        return F.concat(F.substring(digits, F.lit(1), lead), permuted_text(F.substring(digits, lead + 1, F.lit(10)), key))
+
+    return with_digits(value, let(digits_of(value), of))
 
 
 def new_email(value: Column, key: int) -> Column:
@@ -316,18 +362,18 @@ def woven(gaps: Column, between: Column) -> Column:
 
 
 def with_cards(gap: Column, key: int) -> Column:
-    """struct(text, kinds): a text between other matches with its cards permuted, and a (kind, new) for each run of digits, or for
-    each card where a run has several."""
-
-    def of(found: Column) -> Column:
-        cards = F.transform(found, lambda run: new_cards(run, key))
-        each = F.transform(
-            cards, lambda c: F.array_repeat(F.struct(F.lit("card").alias("kind"), c["new"].alias("new")), F.greatest(c["n"], F.lit(1)))
-        )
-        text = F.when(F.size(found) > 0, F.transform(F.array(cards), lambda c: woven(F.split(gap, KINDS["card"], -1), c["new"]))[0])
+    """struct(text, kinds): a text between other matches with its cards permuted, and a (kind, new) for each card, or for a run of
+    digits that has none."""
+
+    def of(cards: Column) -> Column:
+        each = F.transform(cards, lambda c: F.transform(
+            F.when(F.size(c["cards"]) > 0, c["cards"]).otherwise(F.array(c["new"])), lambda x: F.struct(F.lit("card").alias("kind"), x.alias("new"))
+        ))
+        text = F.when(F.size(cards) > 0, woven(F.split(gap, KINDS["card"], -1), cards["new"]))
         return F.struct(F.coalesce(text, gap).alias("text"), F.flatten(each).alias("kinds"))
 
-    return F.transform(F.array(F.regexp_extract_all(gap, F.lit(KINDS["card"]), F.lit(0))), of)[0]
+    runs = F.regexp_extract_all(gap, F.lit(KINDS["card"]), F.lit(0))
+    return let(F.transform(runs, lambda run: new_cards(run, key)), of)
 
 
 def pseudonymised(docs: DataFrame, key: int) -> DataFrame:
