@@ -36,14 +36,15 @@ BLOCK = "block long, doc_ids array<long>, flags array<boolean>, lengths array<lo
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """Integers of 32 bits, compressed; see unpacked."""
-    raw = np.ascontiguousarray(ids, dtype="<i4").tobytes()
+    """Integers of 32 bits, compressed: all first bytes, then all second ones and so on, as upper bytes differ little; see unpacked."""
+    raw = np.ascontiguousarray(ids, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), dtype="<i4")
+    planes = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
 def packed_long(numbers: np.ndarray) -> bytes:
@@ -84,8 +85,8 @@ def run_numbers(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return numbers
 
 
-def word_blocks(docs: DataFrame, words_of: Callable[..., tuple[bytes, list[bytes], bool]]) -> DataFrame:
-    """The blocks of docs (doc_id and further columns), stored.
+def word_blocks(docs: DataFrame, words_of: Callable[..., tuple[bytes, list[bytes], bool]], size_from: int = BLOCK_BYTES) -> DataFrame:
+    """The blocks of docs (doc_id and further columns), each closed from size_from bytes of words on; stored.
 
     words_of(*values of a row) gives the name of the dictionary, the words, and whether they count. Words are kept as the name, a line
     feed and the word (which has none itself). tokens are local ids, document by document (lengths); counts are those of the words
@@ -117,7 +118,7 @@ def word_blocks(docs: DataFrame, words_of: Callable[..., tuple[bytes, list[bytes
                 flags.append(counts)
                 tokens.append(np.fromiter(map(ids[name].__getitem__, words), dtype=np.int32, count=len(words)))
                 size += sum(map(len, words))
-                if size >= BLOCK_BYTES:
+                if size >= size_from:
                     yield block()
                     number, size = count(), 0
                     ids.clear()
@@ -153,7 +154,7 @@ class Ranks:
 def word_counts(blocks: DataFrame) -> DataFrame:
     """(word, n) of all blocks, stored; a word's rows are combined within a block already."""
     each = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    return stored(each.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")))
+    return stored(each.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")), tidy=True)
 
 
 def ranked(counts: DataFrame) -> tuple[DataFrame, Ranks]:
@@ -176,19 +177,19 @@ def encoded(blocks: DataFrame, words: DataFrame) -> DataFrame:
     Only a block's own words come back to it. A word stands in as many rows as blocks hold it.
     """
     each = blocks.select("block", F.posexplode(F.col("words")).alias("at", "word"))
-    found = each.join(words.select("word", "id"), "word").groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found"))
+    both = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("id"))
+    found = each.join(words.select("word", "id"), "word").groupBy("block").agg(F.collect_list(both).alias("found"))
 
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                pairs = row.column("found").flatten()
-                at, ids = (pairs.field(i).to_numpy(zero_copy_only=False) for i in range(2)) if len(pairs) else ([], [])
+                pairs = row.column("found").flatten().to_numpy(zero_copy_only=False)
                 local = unpacked(row.column("tokens")[0].as_py())
-                to = np.full(max(int(local.max(initial=-1)), int(np.max(at, initial=-1))) + 1, NO_WORD, dtype=np.int64)
-                to[at] = ids
+                to = np.full(int(local.max(initial=-1)) + 1, NO_WORD, dtype=np.int32)
+                to[pairs >> 32] = pairs & 0xFFFFFFFF
                 columns = [row.column(c) for c in ("block", "doc_ids", "flags", "lengths")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([packed(to[local])], pa.binary())], ["block", "doc_ids", "flags", "lengths", "tokens"])
 
     slim = blocks.select("block", "doc_ids", "flags", "lengths", "tokens").join(found, "block", "left")
-    return stored(slim.mapInArrow(translate, CODED))
+    return stored(slim.mapInArrow(translate, CODED), tidy=True)

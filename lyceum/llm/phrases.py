@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lyceum.llm.blocks import Ranks, encoded, equal_runs, packed, ranked, unpacked, word_blocks, word_counts
-from lyceum.llm.shared import narrow, stored
+from lyceum.llm.shared import drop_stored, narrow, stored
 
 #: Occurrences of a phrase, at least.
 LEAST = 10
@@ -25,6 +25,8 @@ LEAST = 10
 COVERED_PERCENT = 50
 #: Phrases of each lang.
 TOP = 2000
+#: Parts of a lang whose first phrases are found by tasks of their own; the last task of a lang gets SALTS * top rows at most.
+SALTS = 32
 #: Tokens of the corpus in a range of keys.
 RANGE_TOKENS = 4 << 20
 
@@ -158,13 +160,18 @@ def phrases(docs: DataFrame, least: int = LEAST, covered_percent: int = COVERED_
     words, ranks = ranked(counts.where(F.col("n") >= least))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(2 * partitions, ranks.total // RANGE_TOKENS)
-    grams = stored(merged_runs(block_runs(encoded(blocks, words), ranks, ranges), ranks, least))
+    coded = encoded(blocks, words)
+    drop_stored(blocks)
+    grams = stored(merged_runs(block_runs(coded, ranks, ranges), ranks, least), tidy=True)
+    drop_stored(coded)
     found = scored(grams, covered_percent)
     for k in (1, 2, 3):
         named = words.select(F.col("id").alias(f"g{k}"), *(c.alias(x) for c, x in zip(text_of(F.col("word")), ("lang" if k == 1 else f"_{k}", f"w{k}"), strict=True)))
         found = found.join(named, f"g{k}", "left")
     found = found.withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+    few = found.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= top).drop("rank")
+    first = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     totals = counts.groupBy(text_of(F.col("word"))[0].alias("lang")).agg(F.sum("n").alias("n"))
     return first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -35,11 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
-    """df written once to shared storage and read again: cuts the lineage, and survives lost executors."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Lets Spark drop the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, *partition_by: str, path: str | None = None, tidy: bool = False) -> DataFrame:
+    """df written once to shared storage and read again: cuts the lineage, and survives lost executors.
+
+    tidy: the shuffle files of the write go as soon as it is done, not when the driver next collects its garbage. For chains of large
+    tables; a later use of df itself, not of what is returned, shuffles anew.
+    """
+    spark, path = df.sparkSession, path or shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    try:
+        spark.conf.set(_CLEANUP, "true" if tidy else before)
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_in = path
+    return table
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes what `stored` wrote for these tables, as returned by it, when later ones have taken their place."""
+    for table in tables:
+        discard(table.sparkSession, table._stored_in)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lyceum.llm.blocks import CODED, Ranks, encoded, equal_runs, packed, packed_long, ranked, run_numbers, unpacked, unpacked_long, word_blocks, word_counts
-from lyceum.llm.shared import narrow, stored
+from lyceum.llm.shared import drop_stored, narrow, stored
 
 #: Words of a context at most, its occurrences at least, the weight of its suffix' distribution, and the gain (in nats, over all its
 #: occurrences, each foretold without itself) from which on it is kept.
 DEPTH, LEAST, WEIGHT, GAIN = 2, 4, 2.0, 3.0
 #: Documents with this remainder of the checksum of their id by FOLDS are not learned from.
 FOLDS, HELD_OUT = 7, 2
-#: Words of the corpus in a part.
-PART_WORDS = 1 << 20
+#: Words of the corpus in a part; bytes of words in a block.
+PART_WORDS, BLOCK = 1 << 20, 3 << 20
 
 _END = b""
 
@@ -61,6 +61,10 @@ class Model:
     def prior(self, ids: np.ndarray) -> np.ndarray:
         return (self.ranks.count_of(ids) + 1) / (self.ranks.total + self.ranks.size + 1)
 
+    def smoothed(self, chance: np.ndarray, kept: np.ndarray, seen: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Chances by contexts one word longer where these are kept."""
+        return np.where(kept, (seen + self.weight * chance) / (before + self.weight), chance)
+
     def divided(self, occurrences: np.ndarray) -> np.ndarray:
         """Into how many parts a context goes: at most `parts` contexts of a length into more than one."""
         return 1 + occurrences * self.parts // max(1, self.ranks.total)
@@ -86,7 +90,7 @@ class Block:
         self.tokens = unpacked(row.column("tokens")[0].as_py()).astype(np.int64)
         self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.train = np.repeat(np.array(self.flags, dtype=bool), self.lengths)
-        self.seen = [model.ranks.count_of(self.tokens)]
+        self.seen, self.kept = [model.ranks.count_of(self.tokens)], [np.ones(len(self.tokens), dtype=bool)]
         self.chance = model.prior(self.tokens)
         seen, kept = (row.column(c)[0].as_py() for c in ("seen", "kept"))
         for counts, bits in zip(seen, kept, strict=True):
@@ -99,9 +103,17 @@ class Block:
 
     def learn(self, seen: np.ndarray, kept: np.ndarray) -> None:
         """Takes up the counts of n-grams one word longer, and whether their contexts are kept."""
-        chance = (seen + self.model.weight * self.chance) / (self.before() + self.model.weight)
-        self.chance = np.where(kept, chance, self.chance)
+        self.chance = self.model.smoothed(self.chance, kept, seen, self.before())
         self.seen.append(seen)
+        self.kept.append(kept)
+
+    def shorter(self, places: np.ndarray) -> list[np.ndarray]:
+        """What is known of the n-grams at these places with shorter contexts, length by length: whether the context is kept, its
+        occurrences (from two words on), and those of the n-gram."""
+        out = []
+        for k in range(1, len(self.seen)):
+            out += [self.kept[k][places], *([self.seen[k - 1][places - 1]] if k > 1 else []), self.seen[k][places]]
+        return out
 
     def asked(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The different n-grams of the next length, in the order in which they are sent: the places that ask, the number of the n-gram
@@ -120,8 +132,8 @@ class Block:
 
 
 def questions(state: DataFrame, model: Model, size: int) -> DataFrame:
-    """A row for each block and part: n-grams, their counts in the block's training documents, the occurrences of their contexts, and
-    what the shorter contexts foretell (from the second length on; single words' chances are known everywhere)."""
+    """A row for each block and part: n-grams, their counts in the block's training documents, the occurrences of contexts that are
+    divided (else 0: their part adds them up itself), and what is known by shorter contexts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,15 +144,16 @@ def questions(state: DataFrame, model: Model, size: int) -> DataFrame:
                     continue
                 n = np.bincount(numbers, weights=block.train[places], minlength=len(part)).astype(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                chance = block.chance[one].astype(np.float32).view(np.int32)
+                total, known = np.where(model.divided(occurrences) > 1, occurrences, 0), block.shorter(one)
                 rows = []
                 for s, e in zip(starts, np.append(starts[1:], len(part)), strict=True):
                     keys = np.concatenate([np.diff(columns[0][s:e], prepend=0), *(c[s:e] for c in columns[1:])])
-                    rows.append((packed(keys), packed_long(n[s:e]), packed_long(occurrences[s:e]), None if size == 1 else packed(chance[s:e])))
+                    more = packed_long(np.concatenate([c[s:e] for c in known])) if known else None
+                    rows.append((packed(keys), packed_long(n[s:e]), packed_long(total[s:e]), more))
                 blobs = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([block.block] * len(rows), pa.int64()), *blobs], ["part", "block", "ngrams", "n", "occurrences", "chance"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([block.block] * len(rows), pa.int64()), *blobs], ["part", "block", "ngrams", "n", "occurrences", "known"])
 
-    return state.mapInArrow(ask, "part long, block long, ngrams binary, n binary, occurrences binary, chance binary")
+    return state.mapInArrow(ask, "part long, block long, ngrams binary, n binary, occurrences binary, known binary")
 
 
 def answers(asked: DataFrame, model: Model, size: int) -> DataFrame:
@@ -156,11 +169,17 @@ def answers(asked: DataFrame, model: Model, size: int) -> DataFrame:
         numbers, one = run_numbers(order, starts), order[starts]
         n = np.add.reduceat(n[order], starts)
         columns, occurrences = [c[one] for c in columns], occurrences[one]
-        if size == 1:
-            chance = model.prior(columns[-1])
-        else:
-            chance = np.concatenate([unpacked(b) for b in group.column("chance").to_pylist()]).view(np.float32)[one].astype(np.float64)
+        chance = model.prior(columns[-1])
+        if size > 1:
+            blobs = [unpacked_long(b) for b in group.column("known").to_pylist()]
+            known = iter([np.concatenate(c)[one] for c in zip(*(b.reshape(-1, k.shape[1]) for b, k in zip(blobs, keys, strict=True)), strict=True)])
+            for length in range(1, size):
+                kept = next(known) > 0
+                before = next(known) if length > 1 else model.ranks.count_of(columns[-2])
+                chance = model.smoothed(chance, kept, next(known), before)
         heads = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)]))
+        own = np.add.reduceat(n, heads)
+        occurrences = np.repeat(np.where(occurrences[heads] > 0, occurrences[heads], own), np.diff(np.append(heads, len(n))))
         without = (np.maximum(n - 1, 0) + model.weight * chance) / (occurrences - 1 + model.weight)
         gain = np.add.reduceat(np.where(n > 0, n * np.log(without / chance), 0.0), heads)
         divided = model.divided(occurrences[heads]) > 1
@@ -200,7 +219,7 @@ def learned(state: DataFrame, told: DataFrame, model: Model, divided: dict[tuple
                 yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([m], pa.list_(pa.binary())) for m in more)], ["block", "doc_ids", "flags", "lengths", "tokens", "seen", "kept"])
 
     back = told.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "kept")).alias("told"))
-    return stored(state.join(back, "block", "left").mapInArrow(take, STATE))
+    return stored(state.join(back, "block", "left").mapInArrow(take, STATE), tidy=True)
 
 
 def scored(state: DataFrame, model: Model) -> DataFrame:
@@ -228,15 +247,21 @@ def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST,
     Without any training words every word is unknown, with probability one. An empty table gives no rows.
     """
     docs = narrow(docs, "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
-    blocks = word_blocks(docs, document_words)
-    words, ranks = ranked(word_counts(blocks).where(F.col("n") > 0))
+    blocks = word_blocks(docs, document_words, BLOCK)
+    counts = word_counts(blocks)
+    words, ranks = ranked(counts.where(F.col("n") > 0))
+    drop_stored(counts)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = Model(ranks, max(2 * partitions, ranks.total // PART_WORDS), least, weight, gain)
     none = F.array().cast("array<binary>")
-    state = encoded(blocks, words).withColumns({"seen": none, "kept": none})
+    coded = encoded(blocks, words)
+    drop_stored(blocks)
+    state, old = coded.withColumns({"seen": none, "kept": none}), coded
     for size in range(1, depth + 1):
-        told = stored(answers(questions(state, model, size), model, size))
+        told = stored(answers(questions(state, model, size), model, size), tidy=True)
         sums = told.where(F.col("block").isNull()).groupBy("context").agg(F.sum("gain").alias("gain"))
         divided = {tuple(r["context"]): r["gain"] > gain for r in sums.collect()}
         state = learned(state, told.where(F.col("block").isNotNull()), model, divided)
+        drop_stored(told, old)
+        old = state
     return scored(state, model)
