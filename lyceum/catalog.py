@@ -17,7 +17,7 @@ from lyceum.functions import fixed
 from lyceum.functions import placement as P
 from lyceum.functions import text as X
 from lyceum.functions import url as U
-from lyceum.operators import crawl, layout, store
+from lyceum.operators import crawl, keywords, layout, store
 from lyceum.operators import html as H
 from lyceum.plans import extract
 from lyceum.session import shared_folder
@@ -359,6 +359,30 @@ def append_twice(spark, sf_dir):
     return found.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT o_orderkey AS raw_id, o_orderpriority FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')""")
+def anti_unprocessed_bucketed(spark, sf_dir):
+    """Raw and processed rows in stores with the same buckets, the processed ones in two appends: neither side is shuffled."""
+    raw, done = raw_and_processed(spark, sf_dir)
+    raw_path, done_path, buckets = fresh(spark), fresh(spark), 16
+    store.append_bucketed(raw.select("raw_id", "o_orderpriority"), raw_path, "raw_id", buckets)
+    half = F.pmod("raw_data_id", F.lit(2)) == 0
+    for some in (half, ~half):
+        store.append_bucketed(done.where(some), done_path, "raw_data_id", buckets)
+    raw = store.bucketed(spark, raw_path, "raw_id BIGINT, o_orderpriority STRING", "raw_id", buckets)
+    return store.unprocessed(raw, store.bucketed(spark, done_path, "raw_data_id BIGINT", "raw_data_id", buckets))
+
+
+@query("""SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderpriority = '2-HIGH')
+THEN 'X' ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def update_in_place(spark, sf_dir):
+    """The first urgent order set anew in a stored, partitioned table; only the file that holds it is written."""
+    orders, path = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), fresh(spark)
+    store.append(orders.repartition(8), path, "o_orderstatus", sort_by=["o_orderkey"])
+    store.update_in_place(spark, path, "o_orderpriority = '2-HIGH'", ["o_orderkey"], o_orderpriority="X")
+    return store.scan(spark, path, "o_orderkey long, o_orderstatus string, o_orderpriority string")
+
+
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name AS name, [lower(n_name), 'é \" ' || n_name] AS alias FROM nation")
 def json_round_trip(spark, sf_dir):
     nation, path = table(spark, sf_dir, "nation"), fresh(spark)
@@ -385,6 +409,16 @@ def kw_hit_count(spark, sf_dir):
     )
 
 
+@query("""WITH words AS (SELECT DISTINCT left(text, 6) AS word FROM documents WHERE length(text) >= 6)
+SELECT doc_id, count(*) AS n, min(word) AS first_word FROM documents JOIN words ON contains(text, word) GROUP BY doc_id""")
+def keyword_table_hits(spark, sf_dir):
+    """Documents against a list of keywords that is data: the beginnings of all documents."""
+    docs = documents(spark, sf_dir)
+    words = docs.where(F.length("text") >= 6).select(F.substring("text", 1, 6).alias("word"))
+    found = keywords.keyword_hits(docs, "doc_id", "text", words, list_bytes=1 << 18)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("word").alias("first_word"))
+
+
 SQL_DATES = " UNION ALL ".join(
     f"SELECT doc_id, {k} AS pattern, unnest({sql_all('(?i)' + p)}) AS date_str FROM documents" for k, p in enumerate(fixed.DATE_PATTERNS)
 )
@@ -454,6 +488,14 @@ def date_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), X.format_datetime(F.col("o_orderdate")).alias("stamp"))
 
 
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def date_parse_blanks(spark, sf_dir):
+    """Dates between tabs, line ends and other white space than blanks."""
+    around = F.get(F.array(*map(F.lit, ["\t", "\n", "\u00a0", "\u2003\x0b", " \r\n", "\x1c\u3000"])), F.pmod("o_orderkey", F.lit(6)).cast("int"))
+    day = X.parse_date(joined(around, F.date_format("o_orderdate", "dd/MM/yyyy"), around))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(day, "yyyy-MM-dd").alias("day"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN b = 0 THEN '0B' WHEN b < 1024 THEN printf('%.2f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.2f KB', b / 1024.0::DOUBLE)
   WHEN b < 1073741824 THEN printf('%.2f MB', b / 1048576.0::DOUBLE) ELSE printf('%.2f GB', b / 1073741824.0::DOUBLE) END AS size
 FROM (SELECT o_orderkey, (o_orderkey % 64) * (o_orderkey % 64) * 524288 AS b FROM orders)""")
@@ -749,25 +791,56 @@ def recruitment_types(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", P.recruitment_types(body).alias("r")).select("o_orderkey", "r.*")
 
 
-@query("""SELECT l_orderkey, count(*) AS n_rows, 'Part | Quantity' AS head FROM lineitem GROUP BY l_orderkey""")
-def pdf_table_geom(spark, sf_dir):
-    """Lines of positioned spans, a bold header first, read back as a table."""
+def span(value: Column, x: float, flags: int, size: float | Column) -> Column:
+    return F.struct(
+        value.cast("string").alias("text"), F.lit(x).alias("x"), F.lit(0.0).alias("y"), F.lit("f").alias("font"),
+        F.lit(size).alias("size"), F.lit(flags).alias("flags"),
+    )
 
-    def span(value: Column, x: float, flags: int) -> Column:
-        return F.struct(
-            value.cast("string").alias("text"), F.lit(x).alias("x"), F.lit(0.0).alias("y"), F.lit("f").alias("font"),
-            F.lit(9.0).alias("size"), F.lit(flags).alias("flags"),
-        )
 
-    head = F.struct(F.array(span(F.lit(" Part "), 10.0, 2), span(F.lit("Quantity"), 80.0, 2)).alias("spans"))
+def part_lines(spark: SparkSession, sf_dir: str, flags: int, size: float | Column) -> DataFrame:
+    """Lines of spans for each order: a header of these flags and this size, then a line for each of its parts in size 9."""
+    head = F.struct(F.array(span(F.lit(" Part "), 10.0, flags, size), span(F.lit("Quantity"), 80.0, flags, size)).alias("spans"))
     pairs = F.collect_list(F.struct("l_partkey", "l_quantity"))
     grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(pairs.alias("pairs"))
-    body = F.transform("pairs", lambda p: F.struct(F.array(span(p["l_partkey"], 10.0, 0), span(p["l_quantity"], 80.0, 0)).alias("spans")))
-    lines = grouped.select("l_orderkey", F.concat(F.array(head), body).cast(schemas.SPAN_LINES).alias("lines"))
-    found = lines.where(layout.is_table(F.col("lines"))).select("l_orderkey", layout.as_table(F.col("lines")).alias("t"))
+    body = F.transform("pairs", lambda p: F.struct(F.array(span(p["l_partkey"], 10.0, 0, 9.0), span(p["l_quantity"], 80.0, 0, 9.0)).alias("spans")))
+    return grouped.select("l_orderkey", F.concat(F.array(head), body).cast(schemas.SPAN_LINES).alias("lines"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n_rows, 'Part | Quantity' AS head FROM lineitem GROUP BY l_orderkey""")
+def pdf_table_geom(spark, sf_dir):
+    """Lines of positioned spans, a bold header first, read back as a table."""
+    found = part_lines(spark, sf_dir, 2, 9.0)
+    found = found.where(layout.is_table(F.col("lines"))).select("l_orderkey", layout.as_table(F.col("lines")).alias("t"))
     return found.select("l_orderkey", F.size("t.rows").cast("long").alias("n_rows"), F.array_join("t.headers", " | ").alias("head"))
 
 
+@query("""SELECT l_orderkey, CAST(count(*) + (l_orderkey % 2) AS BIGINT) AS n_rows, CASE WHEN l_orderkey % 2 = 0 THEN 'Part | Quantity' ELSE ' | ' END AS head,
+  'Part | Quantity' AS first_line FROM lineitem GROUP BY l_orderkey""")
+def pdf_table_by_size(spark, sf_dir):
+    """Without a bold line the header is told by its font size: two points larger in every other order, one point in the rest."""
+    size = F.when(F.pmod("l_orderkey", F.lit(2)) == 0, 11.0).otherwise(10.0)
+    found = part_lines(spark, sf_dir, 0, size).select("l_orderkey", layout.as_table(F.col("lines")).alias("t"))
+    return found.select(
+        "l_orderkey", F.size("t.rows").cast("long").alias("n_rows"), F.array_join("t.headers", " | ").alias("head"),
+        F.substring_index("t.raw_text", "\n", 1).alias("first_line"),
+    )
+
+
+@query("""SELECT o_orderkey, 'Order ' || o_orderkey || ' of ' || o_custkey || chr(10) || chr(10) || '- ' || o_orderstatus || chr(10) || o_custkey || '. item' || chr(10) AS text FROM orders""")
+def pdf_formatted(spark, sf_dir):
+    """Blocks of lines as text: a paragraph of two lines and a blank one, a list item, a numbered item, and a blank block."""
+
+    def line(*texts: str | Column) -> Column:
+        return F.struct(F.array(*(span(text(t), 0.0, 0, 9.0) for t in texts)).alias("spans"))
+
+    blocks = F.array(
+        F.array(line("\u2003Order ", F.col("o_orderkey")), line("\t", "\u00a0"), line("of ", F.col("o_custkey"), "\n")),
+        F.array(line("- ", F.col("o_orderstatus"))), F.array(line(F.col("o_custkey"), ". item")), F.array(line(" \x0b")),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", layout.formatted(blocks.cast(f"array<{schemas.SPAN_LINES}>")).alias("text"))
+
+
 @query("""SELECT o_orderkey::VARCHAR AS raw_data_id, 'admission' AS kind, strftime(o_orderdate, '%d/%m/%Y') AS fact, 0.7::DOUBLE AS confidence
 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0
 UNION ALL SELECT o_orderkey::VARCHAR, 'placement', CAST((o_custkey % 40 + 0.5)::DOUBLE AS VARCHAR), 0.7 FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 <> 0""")

@@ -10,11 +10,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
 #: Characters that count as white space in texts: those of Unicode and the four information separators.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: The same characters, each once.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def stripped(text: Column) -> Column:
+    """text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def flagged(pattern: str, case: bool = False) -> str:
     """The pattern with its flags, and with all white space for \\s (classes nest, so also inside brackets)."""
     pattern = pattern.replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")

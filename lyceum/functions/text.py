@@ -74,13 +74,13 @@ def phones(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """White space folded to single spaces, then control characters dropped, then trimmed; null becomes empty."""
-    folded = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{rx.SPACE}]+", " ")
-    return F.trim(F.regexp_replace(folded, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    blank = F.translate(F.coalesce(text, F.lit("")), rx.BLANKS, " " * len(rx.BLANKS))
+    return F.trim(F.regexp_replace(F.regexp_replace(blank, " {2,}", " "), r"[\x00-\x08\x0e-\x1f\x7f]", ""))
 
 
 def parse_date(text: Column) -> Column:
-    """timestamp by the first format that fits, null without one."""
-    trimmed = F.trim(text)
+    """timestamp by the first format that fits, null without one; white space around it is left out."""
+    trimmed = rx.stripped(text)
     return F.coalesce(*(F.try_to_timestamp(trimmed, F.lit(f)) for f in fixed.DATE_FORMATS))
 
 

@@ -42,20 +42,26 @@ def page_links(links: DataFrame, within: Column, current: Column, url: str = "ur
 def frontier(start: DataFrame, edges: DataFrame, rounds: int = 3, budget: int = fixed.PAGE_BUDGET) -> DataFrame:
     """(site, url, depth): what is visited from start (site, url) along edges (url, to), at most `budget` pages a site.
 
-    A round follows the links of the last one and leaves out what was visited; nearer pages, then smaller URLs, come first
-    where the budget ends. Each round is checkpointed, so the plan does not grow.
+    A round follows the links of the last one, leaves out what was visited, and takes the smallest URLs of each site up to what is left
+    of its budget; sites without any left are joined no more. So no round holds more than `budget` rows of a site, however many links
+    its pages have. Each round is checkpointed, so the plan does not grow.
     """
     context = start.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(start.sparkSession))
-    visited = start.select("site", "url").distinct().withColumn("depth", F.lit(0))
-    front = visited
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("url"))
+
+    def within(pages: DataFrame, left: Column, depth: int) -> DataFrame:
+        """The first pages of each site; the limit that is the same for all sites cuts before the shuffle."""
+        first = pages.withColumn("_rank", rank).where(F.col("_rank") <= budget).where(F.col("_rank") <= left)
+        return first.select("site", "url", F.lit(depth).alias("depth")).checkpoint()
+
+    visited = front = within(start.select("site", "url").distinct(), F.lit(budget), 0)
     for depth in range(1, rounds + 1):
-        found = front.join(edges, "url").select("site", F.col("to").alias("url")).distinct()
-        front = found.join(visited, ["site", "url"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        left = visited.groupBy("site").agg((F.lit(budget) - F.count("*")).alias("_left")).where(F.col("_left") > 0)
+        found = front.join(left, "site").join(edges, "url").select("site", F.col("to").alias("url"), "_left").distinct()
+        front = within(found.join(visited, ["site", "url"], "left_anti"), F.col("_left"), depth)
         if front.isEmpty():
             break
         visited = visited.unionByName(front)
-    w = Window.partitionBy("site").orderBy("depth", "url")
-    ranked = visited.withColumn("_rank", F.row_number().over(w))
-    return ranked.where(F.col("_rank") <= budget).drop("_rank")
+    return visited

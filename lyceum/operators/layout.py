@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lyceum.functions import rx
+
 HEADER_FLAG, NEAR, ALIKE, LOOKED_AT, FONT_STEP = 2, 5.0, 0.7, 5, 1.0
 
 
@@ -30,7 +32,7 @@ def as_table(lines: Column) -> Column:
     """struct<headers, rows, raw_text>: the first line is the header if one of its spans has the header flag or its mean font
     size differs from the second line's by more than a point; else headers are blank. Blank rows are left out of rows."""
     full = F.filter(lines, lambda line: F.size(line["spans"]) > 0)
-    cells = F.transform(full, lambda line: F.transform(line["spans"], lambda s: F.trim(s["text"])))
+    cells = F.transform(full, lambda line: F.transform(line["spans"], lambda s: rx.stripped(s["text"])))
 
     def mean(line: Column) -> Column:
         total = F.aggregate(line["spans"], F.lit(0.0), lambda n, s: n + s["size"].cast("double"))
@@ -53,7 +55,7 @@ def formatted(blocks: Column) -> Column:
 
     def of(lines: Column) -> Column:
         texts = F.transform(lines, lambda line: F.array_join(F.transform(line["spans"], lambda s: s["text"]), ""))
-        joined = F.trim(F.array_join(F.filter(texts, lambda t: F.trim(t) != ""), " "))
+        joined = rx.stripped(F.array_join(F.filter(texts, lambda t: rx.stripped(t) != ""), " "))
         item = joined.startswith("•") | joined.startswith("-") | joined.rlike(r"^\d+\.")
         return F.when(joined == "", "").otherwise(F.concat(joined, F.when(item, "\n").otherwise("\n\n")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +40,66 @@ def updated_first(df: DataFrame, match: Column, order: list[str], **values: obje
     return marked.select(*df.columns)
 
 
+def _bucketed_table(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> str:
+    """The name of a table over the files at path. Dropping it leaves the files, which are outside the warehouse."""
+    name = f"lyceum_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return name
+
+
+def append_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Adds rows to a store that is dealt into buckets by a hash of the key, for joins that move no row of it (`bucketed`). All appends
+    to one path take the same key and number of buckets. df is dealt out by the key first, so a batch adds one file to each bucket."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    name = _bucketed_table(df.sparkSession, path, schema, key, buckets)
+    try:
+        df.repartition(buckets, key).write.insertInto(name)
+    finally:
+        df.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def bucketed(spark: SparkSession, path: str, schema: str, key: str, buckets: int) -> DataFrame:
+    """The rows of such a store. Spark knows how they are dealt, so joins and groups by the key need no shuffle on this side."""
+    name = _bucketed_table(spark, path, schema, key, buckets)
+    try:
+        return spark.table(name).select("*")  # resolved by its columns now: files and layout are known, the name may go
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def update_in_place(spark: SparkSession, path: str, match: str, order: Sequence[str], **values: object) -> bool:
+    """Sets values in the first row of a Parquet table that matches, in the given order, which must tell rows apart; False without one.
+
+    Only the file that holds the row is written anew, beside the table, and takes the old one's name by one rename: readers see the old
+    file or the new one. (The file system must replace files by rename, as HDFS and local ones do; object stores do not.) Columns of
+    the table's folders can't be set.
+    """
+    table = spark.read.parquet(path)
+    first = table.where(match).select(*order, F.col("_metadata.file_path").alias("_file")).orderBy(*order).limit(1).collect()
+    if not first:
+        return False
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(first[0]["_file"]))
+    folders = {part.split("=")[0] for part in first[0]["_file"].split("/")[:-1] if "=" in part} & set(table.columns)
+    if folders & set(values):
+        raise ValueError("columns of the table's folders can't be set in place")
+    row = F.expr(match)
+    for name in order:
+        row = row & F.col(name).eqNullSafe(F.lit(first[0][name]))
+    changed = spark.read.option("basePath", path).schema(table.schema).parquet(str(old))
+    for name, value in values.items():
+        changed = changed.withColumn(name, F.when(F.coalesce(row, F.lit(False)), F.lit(value).cast(table.schema[name].dataType)).otherwise(F.col(name)))
+    staged = f"{path.rstrip('/')}/_update-{uuid.uuid4().hex}"
+    changed.drop(*folders).coalesce(1).write.parquet(staged)
+    system = old.getFileSystem(conf)
+    (new,) = (f.getPath() for f in system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/part-*.parquet")))
+    overwrite = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    overwrite[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), conf).rename(new, old, overwrite)
+    system.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+    return True
+
+
 def unprocessed(raw: DataFrame, processed: DataFrame, raw_id: str = "raw_id", by: str = "raw_data_id") -> DataFrame:
     """Raw rows that no processed row names."""
     done = processed.select(F.col(by).alias("_done"))
