@@ -154,10 +154,12 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batc
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     kept = stored(hashes.withColumn("batch", batch), "batch")
     runs = LineRuns(docs.sparkSession)
-    for k in range(batches):
-        runs.add(kept.where(F.col("batch") == k).select("doc_id", *KEY).distinct())
-    common = runs.common(min_docs)
-    runs.close()
+    try:
+        for k in range(batches):
+            runs.add(kept.where(F.col("batch") == k).select("doc_id", *KEY).distinct())
+        common = runs.common(min_docs)
+    finally:
+        runs.close()
     hit = heavy_join(kept.select("doc_id", *KEY), common, KEY, "n_docs", "inner")
     lost = hit.where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     return lost.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(*KEY))).alias("gone"))
