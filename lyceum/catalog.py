@@ -391,6 +391,53 @@ def json_round_trip(spark, sf_dir):
     return tables.json_file(spark, path, "n_nationkey long, name string, alias array<string>", lines=True)
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS raw_data_id, strftime(o_orderdate, '%d/%m/%Y') AS fact FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0""")
+def process_one_college(spark, sf_dir):
+    """Raw documents of one college only, by its name exactly as written."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    raw = orders.select(
+        key.alias("raw_id"), F.when(F.col("o_orderstatus") == "O", "College O").otherwise("college o").alias("college_name"),
+        F.lit("admission").alias("page_type"), deadline_text().alias("raw_content"),
+    )
+    done = orders.where(F.pmod("o_orderkey", F.lit(3)) == 0).select(key.alias("raw_data_id"))
+    found, _ = extract.process(raw, done, F.lit("2024-01-01").cast("timestamp"), "College O")
+    return found.select("raw_data_id", F.get(F.col("admission_data.application_deadlines"), F.lit(0))["date_str"].alias("fact"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 3 <> 2 AS is_html, CASE o_orderkey % 3 WHEN 2 THEN '<HTML><p>' || o_custkey ELSE o_custkey::VARCHAR END AS text FROM orders""")
+def content_sniffed(spark, sf_dir):
+    """Contents are parsed where they hold an html or body tag in lower case; others are text as they are."""
+    kind, customer = F.pmod("o_orderkey", F.lit(3)), F.col("o_custkey")
+    content = F.when(kind == 0, joined("<html><p>", customer)).when(kind == 1, joined("x <body class='c'><p>", customer, "</body>")).otherwise(joined("<HTML><p>", customer))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", content.alias("content"))
+    found, _ = extract.content_parts(F.col("content"), orders)
+    return orders.select("o_orderkey", H.is_html(F.col("content")).alias("is_html"), found.alias("text"))
+
+
+@query("""SELECT n_nationkey, '{"name":"' || n_name || '","region":' || n_regionkey || ',"tags":["a\\"b",null]}' AS doc FROM nation""")
+def json_dump(spark, sf_dir):
+    doc = F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), F.array(F.lit('a"b'), F.lit(None)).alias("tags"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.to_json(doc).alias("doc"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'chart' WHEN doc_id % 5 = 0 THEN 'table' WHEN len(regexp_extract_all(text, '[^\\s\\x0b]+')) > 30 THEN 'text'
+  ELSE 'photo' END AS kind FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT doc_id, 'unknown' FROM documents WHERE doc_id % 11 = 0""")
+def image_types(spark, sf_dir):
+    """Kinds of images by what a model saw in them: here flags from ids, and the documents' texts as what was read."""
+    key, seen = F.col("doc_id"), F.pmod("doc_id", F.lit(11)) != 0
+    chart, has_table = (F.when(seen, F.pmod(key, F.lit(n)) == 0) for n in (7, 5))
+    return documents(spark, sf_dir).select("doc_id", C.image_type(chart, has_table, F.when(seen, F.col("text"))).alias("kind"))
+
+
+@query("""SELECT page_id, k::BIGINT AS k, k < 3 AS inside FROM pages, range(0, 5) r(k)""")
+def links_relative_to(spark, sf_dir):
+    """Links that stay within a domain: relative ones, its own and its subdomains; not domains that merely end alike."""
+    site = U.domain(F.col("url"))
+    urls = F.array(F.lit("/a/b?c"), F.col("url"), joined("https://sub.", site, "/x"), joined("https://not", site), F.lit("https://other.invalid/"))
+    each = table(spark, sf_dir, "pages").select("page_id", site.alias("site"), F.posexplode(urls).alias("k", "link"))
+    return each.select("page_id", F.col("k").cast("long").alias("k"), U.relative_to(F.col("site"), F.col("link")).alias("inside"))
+
+
 # --- text ------------------------------------------------------------------------------------------------------------
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
@@ -678,6 +725,36 @@ def payment_schedule(spark, sf_dir):
     return part.select("p_partkey", found["payment_schedule"].alias("schedule"), found["hostel_fee"]["num"].alias("hostel_fee"))
 
 
+@query("""SELECT p_partkey, (p_size * 10)::DOUBLE AS first_year, 'on request' AS general_fee, (p_size * 1000 + 0.5)::DOUBLE AS hostel_fee,
+  'Branch ' || p_partkey AS course, 'see office' AS course_fee FROM part""")
+def fees_kinds(spark, sf_dir):
+    """Fees without a course by the words of their row, the last of a kind counting; cells that are no numbers stay text."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    plain = one_table(["Item", "Amount"], F.array(
+        F.array(F.lit("1st part"), F.lit("5")), F.array(F.lit("FIRST year"), joined("Rs ", size * 10)), F.array(F.lit("Library"), F.lit("on request")),
+        F.array(F.lit("Hostel"), joined("INR ", size * 1000, ".5")), F.array(F.lit("no fee cell")),
+    ))
+    named = one_table(["Branch", "Fees"], F.array(F.array(joined("Branch ", key), F.lit("70")), F.array(joined("Branch ", key), F.lit("see office"))))
+    found, by_course = A.fees(F.lit(""), plain), A.fees(F.lit(""), named)["course_wise"]
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", found["first_year"]["num"].alias("first_year"), found["general_fee"]["raw"].alias("general_fee"),
+        found["hostel_fee"]["num"].alias("hostel_fee"), F.explode(by_course).alias("course", "v"),
+    )
+    return part.select("p_partkey", "first_year", "general_fee", "hostel_fee", "course", F.col("v.raw").alias("course_fee"))
+
+
+@query("""SELECT c_custkey, c_nationkey::DOUBLE AS open_seats, 'as needed' AS other_seats, c_nationkey::BIGINT AS total FROM customer""")
+def seats_text(spark, sf_dir):
+    """Seats that are no whole numbers stay text and are not added up; white space of any kind around numbers is none of them."""
+    rows = F.array(F.array(F.lit("Open"), joined("\u00a0", F.col("c_nationkey"), "\t")), F.array(F.lit("Other"), F.lit("as needed")), F.array(F.lit("short row")))
+    found = A.seats(F.lit(""), one_table(["Quota", "Count"], rows))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", found.alias("f"))
+    return customer.select(
+        "c_custkey", F.col("f.category_wise")["Open"]["num"].alias("open_seats"), F.col("f.category_wise")["Other"]["raw"].alias("other_seats"),
+        F.col("f.total").alias("total"),
+    )
+
+
 @query("""SELECT o_orderkey, (o_orderkey % 3 <> 0) AS boys, CASE WHEN o_orderkey % 2 = 0 THEN true END AS girls,
   (o_custkey * 10)::DOUBLE AS fee FROM orders""")
 def hostel(spark, sf_dir):
@@ -728,6 +805,35 @@ def placement_pct_derived(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("percentage"))
 
 
+@query("""SELECT o_orderkey, (o_custkey % 40 + 0.5)::DOUBLE AS average, (o_custkey * 100 + 1000000)::DOUBLE AS median, 7.25::DOUBLE AS highest, CAST(NULL AS DOUBLE) AS none
+FROM orders""")
+def placement_stats_tables(spark, sf_dir):
+    """Small summary tables fill what the text leaves open, unscaled; tables of more than three rows and without such a header don't."""
+    customer = F.col("o_custkey")
+    rows = F.array(
+        F.array(F.lit("Average package"), joined("is ", F.pmod(customer, F.lit(40)), ".5 lakh")), F.array(F.lit("Highest package"), F.lit("is 99 lakh")),
+        F.array(F.lit("Median salary"), joined("of ", customer * 100 + 1000000)),
+    )
+    text_ = F.lit("Highest package is 7.25 lakh.")
+    found = P.statistics(text_, one_table(["CTC", "Value"], rows))
+    large = P.statistics(text_, one_table(["CTC", "Value"], F.concat(rows, F.array(F.array(F.lit("more"), F.lit("rows"))))))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", found["avg_package"].alias("average"), found["median_package"].alias("median"), found["highest_package"].alias("highest"),
+        large["avg_package"].alias("none"),
+    )
+
+
+@query("""SELECT o_orderkey, (o_custkey % 90 + 10)::DOUBLE AS placed, (o_custkey % 90 + 110)::DOUBLE / 100000 AS total,
+  round((o_custkey % 90 + 10)::DOUBLE / ((o_custkey % 90 + 110)::DOUBLE / 100000) * 100, 2) AS percentage FROM orders""")
+def placement_counts_scaled(spark, sf_dir):
+    """Counts of 100 and more are divided by 100,000 where their pattern names no lakh, and the percentage follows from what is left."""
+    part = F.pmod("o_custkey", F.lit(90))
+    found = P.statistics(joined(part + 10, " students were placed. Total students: ", part + 110, "."), no_tables())
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", found["students_placed_count"].alias("placed"), found["total_students"].alias("total"), found["placement_percentage"].alias("percentage")
+    )
+
+
 def nation_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.sort_array(F.collect_list("s_name"))
     return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(names.alias("names"))

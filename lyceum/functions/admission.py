@@ -124,7 +124,7 @@ def courses(text: Column, tables: Column) -> Column:
     sections = F.concat(
         *(rx.every(text, rf"(?:{p})[:\s]+((?:.+?(?:\n|$)){{1,10}})", 1) for p in fixed.COURSE_PHRASES)
     )
-    parts = F.flatten(F.transform(sections, lambda s: F.transform(F.split(s, r"[,;\n•\-]"), stripped)))
+    parts = F.flatten(F.transform(sections, lambda s: F.transform(F.split(s, r"[,;\n•\-]"), rx.stripped)))
     named = F.filter(parts, lambda p: (F.length(p) > 3) & ~p.rlike(r"^\d+$"))
     none = F.lit(None).cast("string")
     in_text = F.transform(
@@ -133,10 +133,6 @@ def courses(text: Column, tables: Column) -> Column:
     return F.when(F.size(in_tables) > 0, in_tables).otherwise(in_text)
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def seats(text: Column, tables: Column) -> Column:
     """struct<total, category_wise: map>: counts that are no whole numbers stay text; without a stated total the numeric ones
     are added up."""
@@ -151,7 +147,7 @@ def seats(text: Column, tables: Column) -> Column:
 
     def of_row(row: Column, c: Column) -> Column:
         cell = F.get(row, c["count"])
-        number = F.when(cell.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(cell).cast("double"))
+        number = F.when(rx.stripped(cell).rlike(r"^[+-]?\d+$"), rx.stripped(cell).cast("double"))
         inside = F.size(row) > F.greatest(c["category"], c["count"])
         return F.when(inside, F.struct(F.get(row, c["category"]).alias("k"), number_or_text(number, cell).alias("v")))
 
@@ -196,7 +192,7 @@ def fees(text: Column, tables: Column) -> Column:
     by_course = F.transform(F.filter(found, lambda x: x["kind"] == "course"), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
     return F.struct(
         F.map_from_entries(last_entries(by_course)).alias("course_wise"),
-        stripped(rx.first_of(text, fixed.SCHEDULES)).alias("payment_schedule"),
+        rx.stripped(rx.first_of(text, fixed.SCHEDULES)).alias("payment_schedule"),
         one("hostel_fee"), one("first_year"), one("general_fee"),
     )
 
@@ -225,7 +221,7 @@ def eligibility(text: Column) -> Column:
     least = rx.first_of(text, fixed.MINIMUM_PERCENTAGES).cast("double")
     scores.append(F.when(least.isNotNull(), F.struct(F.lit(fixed.PERCENTAGE_KEY).alias("k"), least.alias("v"))))
     return F.struct(
-        stripped(rx.first_of(text, fixed.REQUIREMENTS)).alias("academic_requirements"),
+        rx.stripped(rx.first_of(text, fixed.REQUIREMENTS)).alias("academic_requirements"),
         F.array_compact(F.array(*exams)).alias("entrance_exams"),
         F.map_from_entries(F.array_compact(F.array(*scores))).alias("cutoff_scores"),
     )

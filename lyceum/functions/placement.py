@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lyceum.functions import fixed, rx
 from lyceum.functions.admission import (
-    any_header, cleaned_number, first_column, has_cell, last_column, last_entries, low_headers, number_or_text, rows_of, stripped,
+    any_header, cleaned_number, first_column, has_cell, last_column, last_entries, low_headers, number_or_text, rows_of,
 )
 
 
@@ -45,7 +45,7 @@ def listed(text: Column, sections: Sequence[str]) -> Column:
     """Names in the first match of each section pattern, split at separators, without noise."""
 
     def of(section: Column) -> Column:
-        parts = F.transform(F.split(section, r"[,;/\n•]"), stripped)
+        parts = F.transform(F.split(section, r"[,;/\n•]"), rx.stripped)
         return F.filter(parts, lambda p: is_name(p) & ~F.lower(p).isin(fixed.NOISE))
 
     found = [F.coalesce(of(rx.first(text, p)), F.array().cast("array<string>")) for p in sections]
@@ -65,7 +65,7 @@ def column_names(tables: Column, words: Sequence[str], only: Sequence[str] | Non
         return F.when(fits, F.struct(at.alias("at")))
 
     def of_row(row: Column, c: Column) -> Column:
-        return F.when(has_cell(row, c["at"]), stripped(F.get(row, c["at"])))
+        return F.when(has_cell(row, c["at"]), rx.stripped(F.get(row, c["at"])))
 
     return F.filter(rows_of(tables, columns, of_row), lambda x: x.isNotNull() & is_name(x))
 
@@ -93,7 +93,7 @@ def history(tables: Column) -> Column:
         return F.when(fits, F.struct(year.alias("year"), package.alias("package"), percentage.alias("percentage")))
 
     def of_row(row: Column, c: Column) -> Column:
-        cell = F.when(has_cell(row, c["year"]), stripped(F.get(row, c["year"])))
+        cell = F.when(has_cell(row, c["year"]), rx.stripped(F.get(row, c["year"])))
         year = F.coalesce(*(rx.first(cell, p) for p in fixed.YEARS))
         digits = lambda x: F.regexp_replace(x, r"[^\d.]", "")
         pay = F.when(has_cell(row, c["package"]), F.get(row, c["package"]))
