@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -25,6 +26,9 @@ from lyceum.llm.shared import arrow_batches, numbered, stored
 #: Bytes of text from which on a block is closed.
 BLOCK_BYTES = 6 << 20
 
+#: Ids whose counts are looked up in a table.
+OFTEN = 1 << 16
+
 #: The id of a word that the corpus' dictionary does not hold.
 NO_WORD = -1
 
@@ -58,6 +62,20 @@ def unpacked_long(data: bytes) -> np.ndarray:
     return high.astype(np.int64) << 32 | low.view(np.uint32).astype(np.int64)
 
 
+def packed_columns(narrow: list[np.ndarray], wide: list[np.ndarray]) -> bytes:
+    """Columns of one length, of 32 and of 64 bits, in one piece; see unpacked_columns."""
+    wide = [np.asarray(c, dtype=np.int64) for c in wide]
+    halves = [h for c in wide for h in ((c & 0xFFFFFFFF).astype(np.uint32).view(np.int32), (c >> 32).astype(np.int32))]
+    return packed(np.concatenate([*(c.astype(np.int32) for c in narrow), *halves]))
+
+
+def unpacked_columns(data: bytes, narrow: int, wide: int) -> list[np.ndarray]:
+    """The columns, as numbers of 64 bits."""
+    table = unpacked(data).reshape(narrow + 2 * wide, -1)
+    low, high = table[narrow::2], table[narrow + 1 :: 2]
+    return [*table[:narrow].astype(np.int64), *(high.astype(np.int64) << 32 | low.view(np.uint32).astype(np.int64))]
+
+
 def radix_order(*digits: np.ndarray) -> np.ndarray:
     """The stable order of rows by arrays of unsigned 32-bit numbers, the first array first: least significant 16 bits first, each
     pass a counting sort (numpy's stable sort of 16-bit numbers)."""
@@ -140,11 +158,21 @@ class Ranks:
     total: int
     size: int
 
+    @cached_property
+    def _often(self) -> np.ndarray:
+        """The counts of the smallest OFTEN ids, which most words have."""
+        ids = np.arange(min(OFTEN, self.size))
+        return self.n[np.searchsorted(self.first, ids, side="right") - 1]
+
     def count_of(self, ids: np.ndarray) -> np.ndarray:
         """How often each id occurs; 0 for NO_WORD."""
         if not self.size:
             return np.zeros(len(ids), dtype=np.int64)
-        return np.where(ids < 0, 0, self.n[np.searchsorted(self.first, ids, side="right") - 1])
+        out = self._often[np.clip(ids, 0, len(self._often) - 1)]
+        rare = np.flatnonzero(ids >= len(self._often))
+        out[rare] = self.n[np.searchsorted(self.first, ids[rare], side="right") - 1]
+        out[ids < 0] = 0
+        return out
 
     def mass_before(self, ids: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.first, ids, side="right") - 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.blocks import CODED, Ranks, encoded, equal_runs, packed, packed_long, ranked, run_numbers, unpacked, unpacked_long, word_blocks, word_counts
+from lyceum.llm.blocks import CODED, Ranks, encoded, equal_runs, packed_columns, radix_order, ranked, run_numbers, unpacked, unpacked_columns, word_blocks, word_counts
 from lyceum.llm.shared import drop_stored, narrow, stored
 
 #: Words of a context at most, its occurrences at least, the weight of its suffix' distribution, and the gain (in nats, over all its
@@ -35,8 +35,8 @@ PART_WORDS, BLOCK = 1 << 20, 3 << 20
 
 _END = b""
 
-STATE = CODED + ", seen array<binary>, kept array<binary>"
-ANSWERS = "part long, block long, counts binary, kept binary, context array<long>, gain double"
+STATE = CODED + ", known array<binary>"
+ANSWERS = "part long, block long, told binary, context array<long>, gain double"
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -58,8 +58,12 @@ class Model:
     weight: float
     gain: float
 
+    def single(self, counts: np.ndarray) -> np.ndarray:
+        """Chances of words with these counts, without a context."""
+        return (counts + 1) / (self.ranks.total + self.ranks.size + 1)
+
     def prior(self, ids: np.ndarray) -> np.ndarray:
-        return (self.ranks.count_of(ids) + 1) / (self.ranks.total + self.ranks.size + 1)
+        return self.single(self.ranks.count_of(ids))
 
     def smoothed(self, chance: np.ndarray, kept: np.ndarray, seen: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Chances by contexts one word longer where these are kept."""
@@ -91,10 +95,10 @@ class Block:
         self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.train = np.repeat(np.array(self.flags, dtype=bool), self.lengths)
         self.seen, self.kept = [model.ranks.count_of(self.tokens)], [np.ones(len(self.tokens), dtype=bool)]
-        self.chance = model.prior(self.tokens)
-        seen, kept = (row.column(c)[0].as_py() for c in ("seen", "kept"))
-        for counts, bits in zip(seen, kept, strict=True):
-            self.learn(unpacked_long(counts), np.unpackbits(np.frombuffer(bits, np.uint8), count=len(self.tokens)).astype(bool))
+        self.chance = model.single(self.seen[0])
+        for told in row.column("known")[0].as_py():
+            kept, seen = unpacked_columns(told, 1, 1)
+            self.learn(seen, kept > 0)
 
     def before(self) -> np.ndarray:
         """Occurrences of the next longer context before each word; 0 where there is none."""
@@ -125,7 +129,7 @@ class Block:
         numbers, one = run_numbers(order, starts), order[starts]
         columns, occurrences = [c[one] for c in columns], before[places[one]]
         part = self.model.part_of(columns, occurrences)
-        by_part = np.argsort(part, kind="stable")
+        by_part = radix_order(part.astype(np.uint32))
         rank = np.empty(len(part), dtype=np.int64)
         rank[by_part] = np.arange(len(part))
         return places, rank[numbers], [c[by_part] for c in columns], occurrences[by_part], places[one[by_part]], part[by_part]
@@ -144,16 +148,14 @@ def questions(state: DataFrame, model: Model, size: int) -> DataFrame:
                     continue
                 n = np.bincount(numbers, weights=block.train[places], minlength=len(part)).astype(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                total, known = np.where(model.divided(occurrences) > 1, occurrences, 0), block.shorter(one)
-                rows = []
-                for s, e in zip(starts, np.append(starts[1:], len(part)), strict=True):
-                    keys = np.concatenate([np.diff(columns[0][s:e], prepend=0), *(c[s:e] for c in columns[1:])])
-                    more = packed_long(np.concatenate([c[s:e] for c in known])) if known else None
-                    rows.append((packed(keys), packed_long(n[s:e]), packed_long(total[s:e]), more))
-                blobs = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([block.block] * len(rows), pa.int64()), *blobs], ["part", "block", "ngrams", "n", "occurrences", "known"])
+                wide = [n, np.where(model.divided(occurrences) > 1, occurrences, 0), *block.shorter(one)]
+                blobs = [
+                    packed_columns([np.diff(columns[0][s:e], prepend=0), *(c[s:e] for c in columns[1:])], [c[s:e] for c in wide])
+                    for s, e in zip(starts, np.append(starts[1:], len(part)), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([block.block] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["part", "block", "asked"])
 
-    return state.mapInArrow(ask, "part long, block long, ngrams binary, n binary, occurrences binary, known binary")
+    return state.mapInArrow(ask, "part long, block long, asked binary")
 
 
 def answers(asked: DataFrame, model: Model, size: int) -> DataFrame:
@@ -161,22 +163,22 @@ def answers(asked: DataFrame, model: Model, size: int) -> DataFrame:
     (without a block) with the part's share of its gain."""
 
     def answer(group: pa.Table) -> pa.Table:
-        keys = [unpacked(k).reshape(size + 1, -1).astype(np.int64) for k in group.column("ngrams").to_pylist()]
-        ends = np.cumsum([k.shape[1] for k in keys])
-        columns = [np.concatenate([np.cumsum(k[0]) for k in keys]), *(np.concatenate([k[c] for k in keys]) for c in range(1, size + 1))]
-        n, occurrences = (np.concatenate([unpacked_long(b) for b in group.column(c).to_pylist()]) for c in ("n", "occurrences"))
+        extra = 2 + len([k for k in range(1, size) for _ in range(2 + (k > 1))])
+        blobs = [unpacked_columns(b, size + 1, extra) for b in group.column("asked").to_pylist()]
+        ends = np.cumsum([len(b[0]) for b in blobs])
+        first, *rest = (list(c) for c in zip(*blobs, strict=True))
+        first, *rest = np.concatenate([np.cumsum(c) for c in first]), *map(np.concatenate, rest)
+        columns, (n, occurrences, *known) = [first, *rest[:size]], rest[size:]
         order, starts = equal_runs(*(c.astype(np.uint32) for c in columns))
         numbers, one = run_numbers(order, starts), order[starts]
         n = np.add.reduceat(n[order], starts)
         columns, occurrences = [c[one] for c in columns], occurrences[one]
         chance = model.prior(columns[-1])
-        if size > 1:
-            blobs = [unpacked_long(b) for b in group.column("known").to_pylist()]
-            known = iter([np.concatenate(c)[one] for c in zip(*(b.reshape(-1, k.shape[1]) for b, k in zip(blobs, keys, strict=True)), strict=True)])
-            for length in range(1, size):
-                kept = next(known) > 0
-                before = next(known) if length > 1 else model.ranks.count_of(columns[-2])
-                chance = model.smoothed(chance, kept, next(known), before)
+        each = iter([c[one] for c in known])
+        for length in range(1, size):
+            kept = next(each) > 0
+            before = next(each) if length > 1 else model.ranks.count_of(columns[-2])
+            chance = model.smoothed(chance, kept, next(each), before)
         heads = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)]))
         own = np.add.reduceat(n, heads)
         occurrences = np.repeat(np.where(occurrences[heads] > 0, occurrences[heads], own), np.diff(np.append(heads, len(n))))
@@ -185,10 +187,11 @@ def answers(asked: DataFrame, model: Model, size: int) -> DataFrame:
         divided = model.divided(occurrences[heads]) > 1
         kept = np.repeat((gain > model.gain) & ~divided, np.diff(np.append(heads, len(n))))
         part = group.column("part")[0].as_py()
-        rows = [(part, b, packed_long(x), np.packbits(y).tobytes(), None, None) for b, x, y in zip(group.column("block").to_pylist(), np.split(n[numbers], ends[:-1]), np.split(kept[numbers], ends[:-1]), strict=True)]
-        rows += [(part, None, None, None, [int(c[h]) for c in columns[:-1]], float(g)) for h, g in zip(heads[divided], gain[divided], strict=True)]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "counts", "kept", "context", "gain"])
+        blocks, counts, flags = group.column("block").to_pylist(), np.split(n[numbers], ends[:-1]), np.split(kept[numbers], ends[:-1])
+        rows = [(part, b, packed_columns([f], [c]), None, None) for b, c, f in zip(blocks, counts, flags, strict=True)]
+        rows += [(part, None, None, [int(c[h]) for c in columns[:-1]], float(g)) for h, g in zip(heads[divided], gain[divided], strict=True)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "told", "context", "gain"])
 
     return asked.groupBy("part").applyInArrow(answer, ANSWERS)
 
@@ -204,10 +207,9 @@ def learned(state: DataFrame, told: DataFrame, model: Model, divided: dict[tuple
                 places, numbers, columns, occurrences, _, part = block.asked()
                 seen, kept = np.zeros(len(block.tokens), dtype=np.int64), np.zeros(len(block.tokens), dtype=bool)
                 if len(part):
-                    by_part = sorted(row.column("told")[0].as_py(), key=lambda t: t["part"])
-                    sizes = np.unique(part, return_counts=True)[1]
-                    bits = [np.unpackbits(np.frombuffer(t["kept"], np.uint8), count=c).astype(bool) for t, c in zip(by_part, sizes, strict=True)]
-                    counts, flags = np.concatenate([unpacked_long(t["counts"]) for t in by_part]), np.concatenate(bits)
+                    pairs = [unpacked_columns(t["told"], 1, 1) for t in sorted(row.column("told")[0].as_py(), key=lambda t: t["part"])]
+                    flags, counts = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                    flags = flags > 0
                     own = np.flatnonzero(model.divided(occurrences) > 1)
                     contexts = np.stack([c[own] for c in columns[:-1]])
                     heads = np.flatnonzero(np.concatenate([[True] * (len(own) > 0), np.any(contexts[:, 1:] != contexts[:, :-1], axis=0)]))
@@ -215,10 +217,10 @@ def learned(state: DataFrame, told: DataFrame, model: Model, divided: dict[tuple
                     flags[own] = np.repeat(np.array(verdicts, dtype=bool), np.diff(np.append(heads, len(own))))
                     seen[places], kept[places] = counts[numbers], flags[numbers]
                 arrays = [row.column(c) for c in ("block", "doc_ids", "flags", "lengths", "tokens")]
-                more = [[*row.column(c)[0].as_py(), new] for c, new in (("seen", packed_long(seen)), ("kept", np.packbits(kept).tobytes()))]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([m], pa.list_(pa.binary())) for m in more)], ["block", "doc_ids", "flags", "lengths", "tokens", "seen", "kept"])
+                known = [*row.column("known")[0].as_py(), packed_columns([kept], [seen])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([known], pa.list_(pa.binary()))], ["block", "doc_ids", "flags", "lengths", "tokens", "known"])
 
-    back = told.groupBy("block").agg(F.collect_list(F.struct("part", "counts", "kept")).alias("told"))
+    back = told.groupBy("block").agg(F.collect_list(F.struct("part", "told")).alias("told"))
     return stored(state.join(back, "block", "left").mapInArrow(take, STATE), tidy=True)
 
 
@@ -256,7 +258,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST,
     none = F.array().cast("array<binary>")
     coded = encoded(blocks, words)
     drop_stored(blocks)
-    state, old = coded.withColumns({"seen": none, "kept": none}), coded
+    state, old = coded.withColumn("known", none), coded
     for size in range(1, depth + 1):
         told = stored(answers(questions(state, model, size), model, size), tidy=True)
         sums = told.where(F.col("block").isNull()).groupBy("context").agg(F.sum("gain").alias("gain"))
