@@ -947,6 +947,31 @@ def pdf_formatted(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", layout.formatted(blocks.cast(f"array<{schemas.SPAN_LINES}>")).alias("text"))
 
 
+@query("""SELECT 'K' || o_orderkey || '.pdf' AS path, 'Order ' || o_orderkey || chr(10) || chr(10) || '• ' || o_orderstatus || chr(10) || 'Key Size   ' || o_custkey || ' 7' || chr(10) || chr(10) AS text,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Key | Size' ELSE ' | ' END AS headers, CAST(1 + o_orderkey % 2 AS BIGINT) AS n_rows FROM orders""")
+def pdf_dumps(spark, sf_dir):
+    """Landed dumps of positioned text, read again: text in reading order, and the tables among its blocks, headed by a larger font."""
+
+    def dumped(*texts: str | Column, size: float | Column = 9.0) -> Column:
+        spans = (F.struct(text(t).alias("text"), F.array(F.lit(10.0 + 70 * k), F.lit(5.0)).alias("origin"), F.lit(size).alias("size")) for k, t in enumerate(texts))
+        return F.struct(F.array(*spans).alias("spans"))
+
+    def block(*lines: Column) -> Column:
+        return F.struct(F.lit(0).alias("type"), F.array(*lines).alias("lines"))
+
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    large = F.when(F.pmod(key, F.lit(2)) == 0, 10.5).otherwise(9.5)
+    none = F.struct(F.lit(1).alias("type"), F.lit(None).cast("array<struct<spans:array<struct<text:string,origin:array<double>,size:double>>>>").alias("lines"))
+    grid = block(dumped("Key", " Size ", size=large), dumped(joined(" ", customer), " 7"))
+    page = F.struct(joined("K", key, ".pdf").alias("path"), F.lit(1).alias("page"), F.array(
+        block(dumped(joined("Order ", key))), none, block(dumped(joined("• ", F.col("o_orderstatus")))), grid
+    ).alias("blocks"))
+    folder = fresh(spark)
+    table(spark, sf_dir, "orders").select(F.to_json(page)).write.text(folder)
+    found = tables.span_pages(spark, folder).select("path", layout.formatted(F.col("blocks")).alias("text"), F.get(layout.tables_of(F.col("blocks")), F.lit(0)).alias("t"))
+    return found.select("path", "text", F.array_join("t.headers", " | ").alias("headers"), F.size("t.rows").cast("long").alias("n_rows"))
+
+
 @query("""SELECT o_orderkey::VARCHAR AS raw_data_id, 'admission' AS kind, strftime(o_orderdate, '%d/%m/%Y') AS fact, 0.7::DOUBLE AS confidence
 FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0
 UNION ALL SELECT o_orderkey::VARCHAR, 'placement', CAST((o_custkey % 40 + 0.5)::DOUBLE AS VARCHAR), 0.7 FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 3 <> 0""")

@@ -10,6 +10,24 @@ from lyceum.functions import rx
 HEADER_FLAG, NEAR, ALIKE, LOOKED_AT, FONT_STEP = 2, 5.0, 0.7, 5, 1.0
 
 
+def text_blocks(blocks: Column) -> Column:
+    """The lines of each text block of a dump (type 0), their spans with x and y of their own."""
+
+    def span(s: Column) -> Column:
+        x, y = (F.get(s["origin"], F.lit(k)).alias(name) for k, name in enumerate("xy"))
+        return F.struct(s["text"].alias("text"), x, y, s["font"].alias("font"), s["size"].alias("size"), s["flags"].alias("flags"))
+
+    def line(one: Column) -> Column:
+        return F.struct(F.transform(F.coalesce(one["spans"], F.array()), span).alias("spans"))
+
+    return F.transform(F.filter(blocks, lambda b: b["type"] == 0), lambda b: F.transform(F.coalesce(b["lines"], F.array()), line))
+
+
+def tables_of(blocks: Column) -> Column:
+    """The tables among blocks (lines of each), as structs of as_table; blocks that are none are left out."""
+    return F.filter(F.transform(F.filter(blocks, lambda b: F.coalesce(is_table(b), F.lit(False))), as_table), lambda t: t.isNotNull())
+
+
 def is_table(lines: Column) -> Column:
     """Whether lines look like a table: of the first five all have equally many spans, more than one, or some later line has
     most starts near those of the first. False below two lines; null if the first line is empty and counts differ."""

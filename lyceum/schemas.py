@@ -11,3 +11,7 @@ TARGET = (
 )
 NO_TABLES = "array<struct<table_index:int,headers:array<string>,raw_rows:array<array<string>>,text:string>>"
 SPAN_LINES = "array<struct<spans:array<struct<text:string,x:double,y:double,font:string,size:double,flags:int>>>>"
+SPAN_PAGE = (
+    "path string, page int, blocks array<struct<type:int,lines:array<struct<spans:array<struct<text:string,origin:array<double>,"
+    "font:string,size:double,flags:int>>>>>>"
+)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyceum import schemas
+from lyceum.operators import layout
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -49,3 +50,10 @@ def pdf_lines(files: DataFrame, reader=None) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "page", "lines"])
 
     return files.select("path", "content").mapInPandas(run, f"path string, page int, lines {schemas.SPAN_LINES}")
+
+
+def span_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page, blocks) of landed dumps of positioned text: an object a line for each page of a PDF file, its blocks as PDF libraries
+    give them (type 0 for text, lines, spans with their origin). Files are split by size; broken lines give a row of nulls."""
+    rows = spark.read.schema(schemas.SPAN_PAGE).option("mode", "PERMISSIVE").json(path)
+    return rows.select("path", "page", layout.text_blocks(F.col("blocks")).alias("blocks"))

@@ -44,3 +44,17 @@ def test_layout_of_a_store_prunes_its_scans(spark, tmp_path):
     assert sorted(r["id"] for r in found.collect()) == [k for k in range(1000) if k % 50 == 7 and k % 3 == 1]
     order = [r["college_name"] for r in spark.read.parquet(f"{path}/page_type=t1").select("college_name").collect()]
     assert order == sorted(order)
+
+
+def test_dumps_of_positioned_text(spark, tmp_path):
+    from lyceum.operators import layout
+
+    span = {"text": "a", "origin": [1.5, 2.0], "font": "f", "size": 9.0, "flags": 2}
+    good = {"path": "x.pdf", "page": 3, "blocks": [{"type": 0, "lines": [{"spans": [span]}, {}]}, {"type": 1, "image": "z"}, {"type": 0}]}
+    (tmp_path / "d.json").write_text(json.dumps(good) + "\n{broken\n" + json.dumps({"path": "y.pdf", "page": 1}) + "\n")
+    rows = {r["path"]: r for r in S.span_pages(spark, f"file://{tmp_path}/d.json").collect()}
+    assert set(rows) == {"x.pdf", "y.pdf", None} and rows["y.pdf"]["blocks"] is None
+    (first, second), *rest = rows["x.pdf"]["blocks"]
+    assert first["spans"][0].asDict() == {"text": "a", "x": 1.5, "y": 2.0, "font": "f", "size": 9.0, "flags": 2} and second["spans"] == [] and rest == [[]]
+    texts = S.span_pages(spark, f"file://{tmp_path}/d.json").select("path", layout.formatted(F.col("blocks")).alias("t"), layout.tables_of(F.col("blocks")).alias("n"))
+    assert {r["path"]: (r["t"], r["n"]) for r in texts.collect()}["x.pdf"] == ("a\n\n", [])
