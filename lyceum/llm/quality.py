@@ -7,6 +7,7 @@ bitwise aggregations over the ledger, without looking at a text again.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from operator import eq
 
@@ -99,7 +100,7 @@ def measure(text: str) -> tuple[int, ...]:
 
 
 def _cases(text: str) -> tuple[int, int, int]:
-    """Upper-case letters, letters and ASCII digits, by code point."""
+    """Letters of class Lu, letters of all classes and ASCII digits, by code point."""
     if text.isascii():
         codes = np.frombuffer(text.encode(), np.uint8)
         count = np.bincount(codes, minlength=128)
@@ -108,7 +109,7 @@ def _cases(text: str) -> tuple[int, int, int]:
     seen = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
     pairs = [(chr(c), int(n)) for c, n in zip(*seen, strict=True)]
     return (
-        sum(n for c, n in pairs if c.isupper()),
+        sum(n for c, n in pairs if unicodedata.category(c) == "Lu"),
         sum(n for c, n in pairs if c.isalpha()),
         sum(n for c, n in pairs if "0" <= c <= "9"),
     )

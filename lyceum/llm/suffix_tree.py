@@ -31,7 +31,7 @@ DEPTH, LEAST, WEIGHT, GAIN = 2, 4, 2.0, 3.0
 #: Documents with this remainder of the checksum of their id by FOLDS are not learned from.
 FOLDS, HELD_OUT = 7, 2
 #: Words of the corpus in a part; bytes of words in a block.
-PART_WORDS, BLOCK = 1 << 20, 3 << 20
+PART_WORDS, BLOCK = 1 << 20, 2 << 20
 
 _END = b""
 

@@ -2,6 +2,7 @@
 
 import re
 import struct
+import unicodedata
 import zlib
 
 import public_tokenizers
@@ -36,7 +37,7 @@ def good(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     n, chars, symbols, dup_lines, repeats = measures_of(text)
     lines = sum(1 for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
-    letters, upper = sum(c.isalpha() for c in text), sum(c.isupper() for c in text)
+    letters, upper = sum(c.isalpha() for c in text), sum(unicodedata.category(c) == "Lu" for c in text)
     return not (
         n < 20 or 100 * repeats > 30 * n or 100 * dup_lines > 50 * lines or 100 * symbols > 10 * n or 100 * upper > 60 * letters
         or 100 * text.count("!") > 30 * n or chars < 2 * n or chars > 15 * n or 100 * letters < 50 * chars

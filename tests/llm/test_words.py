@@ -159,3 +159,9 @@ def test_trie_finds_what_distance_one_says():
         found = list(trie.near(w))
         assert sorted(f[0] for f in found) == [x for x in words if S._one_off(w, x)]
         assert all(words[n - 1] == x for x, n in found)
+
+
+def test_roman_numerals_and_circled_letters_are_no_capitals():
+    from lyceum.llm.quality import _cases
+
+    assert _cases("ⅧⒶÀé9a") == (1, 3, 1)
