@@ -86,8 +86,8 @@ def sequences(docs: DataFrame, path: str, pattern: str, length: int = LENGTH) ->
     return slim.mapInArrow(cut, "first_doc long, n_tokens int, ids binary")
 
 
-def write_shards(rows: DataFrame, path: str, key: int = KEY, per_shard: int = PER_SHARD) -> None:
-    """Writes rows (first_doc, n_tokens, ids) to path in the order of their slots, as (slot, shard, place, first_doc, n_tokens, ids).
+def write_shards(rows: DataFrame, path: str, key: int = KEY, per_shard: int = PER_SHARD, length: int = LENGTH) -> None:
+    """Writes rows (first_doc, n_tokens, ids of `length` tokens) to path in the order of their slots, as (slot, shard, place, first_doc, n_tokens, ids).
 
     rows are stored and numbered first; the table of partition sizes is bounded by their count. A task writes one file of
     consecutive whole shards. There are as many tasks as shuffle partitions, whatever the number of shards, but more where
@@ -103,7 +103,7 @@ def write_shards(rows: DataFrame, path: str, key: int = KEY, per_shard: int = PE
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
     n = cut.count()
     shards = max(1, -(-n // per_shard))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * 2 * LENGTH // TASK_BYTES)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * 2 * length // TASK_BYTES)
     each = -(-shards // tasks)
     slots = cut.join(F.broadcast(starts), "_part").withColumn("slot", permuted(F.col("_start") + F.col("_in"), n, key))
     shard = F.floor(F.col("slot") / F.lit(per_shard)).cast("int")
@@ -131,7 +131,7 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = KEY, length
 
     ranks = path or public_tokenizers.path(RANKS)
     out = shared_dir(docs.sparkSession)
-    write_shards(sequences(docs, ranks, public_tokenizers.PATTERN, length), out, key, per_shard)
+    write_shards(sequences(docs, ranks, public_tokenizers.PATTERN, length), out, key, per_shard, length)
     return docs.sparkSession.read.schema(SCHEMA).parquet(out)
 
 
