@@ -186,8 +186,10 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
 
 def ranked(counts: DataFrame) -> tuple[DataFrame, Ranks]:
-    """(word, n, id) with dense ids by descending n, and their ranks."""
-    words = numbered(counts.select("word", "n", (-F.col("n")).alias("_less")), ["_less", "word"], "id").drop("_less")
+    """(word, n, id) with dense ids by descending n, stored, and their ranks."""
+    table = numbered(counts.select("word", "n", (-F.col("n")).alias("_less")), ["_less", "word"], "id")
+    words = table.drop("_less")
+    words._stored_in = table._stored_in
     steps = words.groupBy("n").agg(F.min("id").alias("first"), F.count("*").alias("words")).orderBy(F.desc("n")).toPandas()
     n, size = steps["n"].to_numpy(np.int64), steps["words"].to_numpy(np.int64)
     if size.sum() >= 1 << 31:

@@ -102,18 +102,16 @@ def numbered(df: DataFrame, order: Sequence[str], number: str = "row_no") -> Dat
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    cut = stored(ranged.withColumn("_at", F.monotonically_increasing_id()))
-    cut = cut.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
+    ranges = stored(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    cut = ranges.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND((1 << 33) - 1))
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_size"))
     before = F.coalesce(
         F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     starts = sizes.select("_part", before.alias("_start"))
-    return (
-        cut.join(F.broadcast(starts), "_part")
-        .withColumn(number, F.col("_start") + F.col("_in"))
-        .drop("_part", "_start", "_in", "_at")
-    )
+    table = cut.join(F.broadcast(starts), "_part").withColumn(number, F.col("_start") + F.col("_in")).drop("_part", "_start", "_in", "_at")
+    table._stored_in = ranges._stored_in
+    return table
 
 
 def heavy_join(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, how: str = "left") -> DataFrame:

@@ -257,7 +257,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST,
     model = Model(ranks, max(2 * partitions, ranks.total // PART_WORDS), least, weight, gain)
     none = F.array().cast("array<binary>")
     coded = encoded(blocks, words)
-    drop_stored(blocks)
+    drop_stored(blocks, words)
     state, old = coded.withColumn("known", none), coded
     for size in range(1, depth + 1):
         told = stored(answers(questions(state, model, size), model, size), tidy=True)
