@@ -12,92 +12,86 @@ from pyspark.sql import types as T
 
 from lyceum.functions import fixed
 from lyceum.functions import url as U
-from lyceum.operators.markup import Node, tree
-
-BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
-DROPPED = ("script", "style", "nav", "footer", "header")
-
-
-def without(root: Node, names: tuple[str, ...]) -> Node:
-    """A copy of the tree without these elements."""
-    copy = Node(root.name, root.attrs, None)
-    stack = [(root, copy)]
-    while stack:
-        old, new = stack.pop()
-        for item in old.items:
-            if not isinstance(item, Node):
-                new.items.append(item)
-            elif item.name not in names:
-                child = Node(item.name, item.attrs, new)
-                new.items.append(child)
-                stack.append((item, child))
-    return copy
-
+from lyceum.operators.markup import Node, Page, tree
+
+BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"))
+DROPPED = frozenset(("script", "style", "nav", "footer", "header"))
+CELLS, ROWS, HEADS, HEADER_CELLS, DATA_CELLS = ("td", "th"), ("tr",), ("thead",), ("th",), ("td",)
+#: Place of the content selectors, by id, class and name.
+_PLACES = {
+    sign: {s.lstrip("#."): k for k, s in reversed(list(enumerate(fixed.CONTENT_SELECTORS))) if (s[0] if s[0] in "#." else "") == sign}
+    for sign in ("#", ".", "")
+}
 
 #: Characters of text that a page may have through elements that stand in each other: unclosed ones do, and their texts come again.
 MAX_TEXT = 1 << 26
 
 
-def texts(nodes: list[Node], between: str = "") -> list[str]:
-    """The text of each node; fails beyond MAX_TEXT characters in all."""
+def texts(page: Page, elements: list[int], between: str = "") -> list[str]:
+    """The text of each element; fails beyond MAX_TEXT characters in all."""
     out, total = [], 0
-    for node in nodes:
-        out.append(node.text(between))
+    for k in elements:
+        out.append(page.text(k, between))
         total += len(out[-1])
         if total > MAX_TEXT:
             raise ValueError("the texts of nested elements are too large")
     return out
 
 
-def block_text(node: Node) -> str:
+def block_text(page: Page, k: int) -> str:
     """Text of paragraphs, headings and list items by line (nested ones come again); else all strings by line."""
-    return "\n".join(filter(None, texts(node.find_all(*BLOCKS)))) or node.text("\n")
+    return "\n".join(filter(None, texts(page, page.find(k, BLOCKS)))) or page.text(k, "\n")
 
 
-def main_part(root: Node) -> Node | None:
+def main_part(page: Page) -> int | None:
     """The first element of the first content selector that finds one, else the body."""
-    nodes = list(root.walk())
-    for selector in fixed.CONTENT_SELECTORS:
-        kind, name = (selector[0], selector[1:]) if selector[0] in "#." else ("", selector)
-        for node in nodes:
-            if kind == "#" and node.attrs.get("id") == name or kind == "." and name in node.attrs.get("class", "").split():
-                return node
-            if not kind and node.name == name:
-                return node
-    return next((n for n in nodes if n.name == "body"), None)
+    found, place = None, len(fixed.CONTENT_SELECTORS)
+    by_id, by_class, by_name = _PLACES["#"], _PLACES["."], _PLACES[""]
+    for k, (name, attrs) in enumerate(zip(page.names, page.attrs, strict=True)):
+        if name is None:
+            continue
+        here = by_name.get(name, place)
+        if attrs:
+            here = min(here, by_id.get(attrs.get("id"), place), *(by_class.get(c, place) for c in attrs.get("class", "").split()))
+        if here < place:
+            found, place = k, here
+    return next(iter(page.find(0, ("body",))), None) if found is None else found
 
 
 def table_cells(table: Node) -> tuple[list[str], list[list[str]]]:
     """Headers and rows of cells. Headers: the cells th of thead, else of the first row, else that row's td. With headers the
     first row is no data; rows without cells are left out."""
-    rows = table.find_all("tr")
-    head = next(iter(table.find_all("thead")), None)
-    headers = texts(head.find_all("th")) if head else []
+    page, find = table.page, table.page.find
+    rows, heads = find(table.at, ROWS), find(table.at, HEADS)
+    headers = texts(page, find(heads[0], HEADER_CELLS)) if heads else []
     if not headers and rows:
-        headers = texts(rows[0].find_all("th") or rows[0].find_all("td"))
-    cells = [texts(r.find_all("td", "th")) for r in rows[bool(headers) :]]
+        headers = texts(page, find(rows[0], HEADER_CELLS) or find(rows[0], DATA_CELLS))
+    cells = [texts(page, find(r, CELLS)) for r in rows[bool(headers) :]]
     return headers, [r for r in cells if r]
 
 
 def is_data_image(image: Node, known: dict[int, bool]) -> bool:
     """No small image, and a word for charts or data in its description or in the text of up to three elements around it. known
     keeps what was found out about elements of this page."""
+    page, attrs = image.page, image.attrs
     for side in ("width", "height"):
-        digits = image.attrs.get(side, "").strip()
+        digits = attrs.get(side, "").strip()
         if digits.isdecimal() and len(digits) < 10 and int(digits) < 200:
             return False
-    if any(word in image.attrs.get(k, "").lower() for word in fixed.IMAGE_INDICATORS for k in ("alt", "title", "class")):
-        return True
-    node = image.parent
+    for key in ("alt", "title", "class"):
+        said = attrs.get(key, "").lower()
+        if said and any(word in said for word in fixed.IMAGE_INDICATORS):
+            return True
+    node = page.parents[image.at]
     for _ in range(3):
-        if node is None or not node.name:
+        if node <= 0:
             break
-        if id(node) not in known:
-            near = "".join(node.strings()).lower()
-            known[id(node)] = any(word in near for word in fixed.IMAGE_INDICATORS)
-        if known[id(node)]:
+        if node not in known:
+            near = "".join(page.parts(node)).lower()
+            known[node] = any(word in near for word in fixed.IMAGE_INDICATORS)
+        if known[node]:
             return True
-        node = node.parent
+        node = page.parents[node]
     return False
 
 
@@ -111,7 +105,7 @@ def read_page(html: str | None, wanted: tuple[str, ...] = FIELDS) -> dict | None
         return None
     try:
         root, odd = tree(html)
-        bare = without(root, DROPPED) if "text" in wanted or "main_text" in wanted else root
+        bare = root.page.without(DROPPED) if "text" in wanted or "main_text" in wanted else root.page
         own = {"error": None, "odd": odd}
         return {name: own[name] if name in own else _READERS[name](root, bare) for name in wanted}
     except (ValueError, MemoryError) as e:
@@ -119,12 +113,12 @@ def read_page(html: str | None, wanted: tuple[str, ...] = FIELDS) -> dict | None
         return {name: none.get(name, []) for name in wanted}
 
 
-def _main_text(root: Node, bare: Node) -> str:
+def _main_text(root: Node, bare: Page) -> str:
     part = main_part(bare)
-    return block_text(part) if part else bare.text("\n")
+    return bare.text(0, "\n") if part is None else block_text(bare, part)
 
 
-def _tables(root: Node, bare: Node) -> list[dict]:
+def _tables(root: Node, bare: Page) -> list[dict]:
     tables = []
     for k, table in enumerate(root.find_all("table")):
         headers, rows = table_cells(table)
@@ -132,7 +126,7 @@ def _tables(root: Node, bare: Node) -> list[dict]:
     return tables
 
 
-def _table_html(root: Node, bare: Node) -> list[str]:
+def _table_html(root: Node, bare: Page) -> list[str]:
     out, total = [], 0
     for table in root.find_all("table"):
         out.append(table.html())
@@ -142,13 +136,13 @@ def _table_html(root: Node, bare: Node) -> list[str]:
     return out
 
 
-def _images(root: Node, bare: Node) -> list[str]:
+def _images(root: Node, bare: Page) -> list[str]:
     known: dict[int, bool] = {}
     return [i.attrs["src"] for i in root.find_all("img") if i.attrs.get("src") and is_data_image(i, known)]
 
 
 _READERS = {
-    "text": lambda root, bare: block_text(bare),
+    "text": lambda root, bare: block_text(bare, 0),
     "main_text": _main_text,
     "plain": lambda root, bare: "".join(root.strings()),
     "tables": _tables,

@@ -157,3 +157,38 @@ def test_table_documents_keep_their_html(spark):
     assert [(r["page_id"], r["table_index"], r["html"]) for r in rows] == [
         (1, 0, "<table><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table>"), (1, 1, "<table><tr><td>b</td></tr></table>"),
     ]
+
+
+def test_pages_without_odd_places_are_read_by_tokens():
+    """Ordinary pages are cut by one pattern, and as the scanner reads them; others are left to the scanner."""
+    page = (
+        "<!DOCTYPE html><html><head><title>T</title><style>p > a {}</style><SCRIPT src='x'>if (a<b) '<p>'</script></head><body class='a  b'>"
+        "<!-- <p>no</p> --><p>one<p>two &amp; <b>three</b></p><template><p>t</p></template><table><tr><td>1<td>2</tr></table></q><br/><p/></body></html>end"
+    )
+    found, odd = M._in_tokens(page)
+    scanned, as_scanned = M._scanned(page)
+    assert odd == as_scanned == 5
+    assert all(getattr(found, c) == getattr(scanned, c) for c in M.Page.__slots__)
+    for odd_one in ["<a b='x>y'>", "a < b", "<!-- x", "<script>a", "<![CDATA[x]]>", "<>", "<a b='x>", "<script>a</style>"]:
+        assert M._in_tokens(odd_one) is None, odd_one
+    for piece in ["<!--", "<script>", "<style ", "--><!--", "<p>x</q>", "<template><p>"]:
+        began = time.time()
+        M.tree(piece * 20_000)[0].text()
+        assert time.time() - began < 3, piece
+
+
+def test_remembered_tags_are_bounded(monkeypatch):
+    monkeypatch.setattr(M, "TOKENS", 10)
+    tokens = M.Tokens()
+    for k in range(100):
+        assert tokens[f"<a href='{k}'>"] == (M._OPEN, "a", {"href": str(k)})
+    tokens["<p title='" + "x" * M.TOKEN + "'>"]
+    assert len(tokens) <= 10 and max(map(len, tokens)) <= M.TOKEN
+
+
+def test_narrow_rows_are_dealt_before_their_pages_are_read(spark):
+    """The few MB of a file are one task; the pages made of them are not."""
+    from lyceum.catalog import QUERIES
+
+    for name in ("page_texts", "page_file_links", "page_data_images", "page_broken_markup", "page_table_html", "dates_context"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4, name
