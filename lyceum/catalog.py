@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Narrow rows that become large pages or texts, by key in as many tasks as the session's partitions: the few MB of a file are one
+    task otherwise, however long their pages take."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def text(value: str | Column) -> Column:
     return F.lit(value) if isinstance(value, str) else value.cast("string")
 
@@ -227,7 +233,9 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<a href='page.html'>p</a></div><img src='chart.png' alt='Chart'><img src='icon.png' alt='chart' width='20'>"
         "<table class='t'><tr><td><span>Placement</span><img src='/p.png'></td></tr></table><footer><p>foot</p></footer></body></html>",
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", joined("https://h.example/a/", F.col("o_custkey"), "/").alias("url"), html.alias("html"))
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey").select(
+        "o_orderkey", joined("https://h.example/a/", F.col("o_custkey"), "/").alias("url"), html.alias("html")
+    )
 
 
 @query(f"""SELECT o_orderkey, concat_ws(chr(10), 'outside', m) AS text, m AS main_text FROM (SELECT o_orderkey, concat_ws(chr(10),
@@ -260,7 +268,8 @@ def page_broken_markup(spark, sf_dir):
         "<p>kept ", F.col("o_orderstatus"), "</p><![foo[x]]></div><img src='chart.png' alt='Chart' width='", width, "'><p>after</p>",
         F.when(F.pmod("o_orderkey", F.lit(2)) == 0, "<!-- never <!--").otherwise("<"),
     )
-    pages = H.parse_pages(table(spark, sf_dir, "orders").withColumn("html", html), "text", "images", "error", "odd")
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
+    pages = H.parse_pages(orders.withColumn("html", html), "text", "images", "error", "odd")
     return pages.select("o_orderkey", "page.text", "page.error", "page.odd", F.get("page.images", F.lit(0)).alias("image"))
 
 
@@ -273,7 +282,8 @@ def page_table_html(spark, sf_dir):
     html = joined(
         "<p>x<TABLE class='grid'><tr><td title='a & b'>", F.col("o_orderkey"), "<table><tr><td>", F.col("o_orderstatus"), " &lt;x><br></table></td>",
     )
-    pages = H.parse_pages(table(spark, sf_dir, "orders").withColumn("html", html), "tables", "table_html")
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    pages = H.parse_pages(orders.withColumn("html", html), "tables", "table_html")
     return H.table_documents(pages, "o_orderkey").select("o_orderkey", "table_index", "html", "text")
 
 
@@ -488,7 +498,8 @@ def deadline_text() -> Column:
   '...' || right(repeat('x', 120) || {SQL_DEADLINE_TEXT}, 110) || ' and more '|| repeat('y', 80) || '...' AS context FROM orders""")
 def dates_context(spark, sf_dir):
     whole = joined(F.repeat(F.lit("x"), 120), deadline_text(), " and more ", F.repeat(F.lit("y"), 200))
-    each = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(X.dates(whole)).alias("d"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
+    each = orders.select("o_orderkey", F.explode(X.dates(whole)).alias("d"))
     return each.select("o_orderkey", "d.date_str", F.col("d.position").cast("long").alias("position"), "d.context")
 
 
