@@ -51,6 +51,8 @@ FILE_PLACEMENT_WORDS = [
 # --- text ----------------------------------------------------------------------------------------------------------
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 _SHORT_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+#: All names of months begin with one of these.
+MONTH_STARTS = _SHORT_MONTHS.lower().split("|")
 DATE_PATTERNS = [
     r"(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})",
     rf"({_MONTHS})\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})",

@@ -5,7 +5,7 @@ Patterns ignore case unless told otherwise, and only \\n ends a line. A miss is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,23 +44,41 @@ def every(text: Column, pattern: str, group: int = 0, case: bool = False) -> Col
     return F.regexp_extract_all(text, F.lit(flagged(pattern, case)), F.lit(group))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hits(text: Column, pattern: str, groups: int, case: bool = False) -> Column:
-    """array<struct<match, groups, position>> of all matches; position counts code points from 0.
+    """array<struct<match, groups, position>> of all matches; position counts code points from 0. The pattern has no look-around,
+    anchors or boundaries: a match is matched alike where nothing is around it, so its groups are read from it alone.
 
-    A match begins after all pieces between matches and all matches before it.
+    A match begins after all pieces between matches and all matches before it. The text is searched once for each of these, however
+    many matches it has.
     """
     p = flagged(pattern, case)
-    matches = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    pieces = F.split(text, p, -1)
-    captured = [F.regexp_extract_all(text, F.lit(p), F.lit(g)) for g in range(1, groups + 1)]
 
-    def at(match: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x))
-        passed = F.aggregate(F.slice(matches, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
-        own = F.array(*(F.nullif(F.get(c, i), F.lit("")) for c in captured)).cast("array<string>")
-        return F.struct(match.alias("match"), own.alias("groups"), (before + passed).alias("position"))
+    def begin(so_far: Column, gap: Column, own: Column) -> Column:
+        at = so_far["end"] + gap
+        return F.struct((at + own).alias("end"), F.concat(so_far["begins"], F.array(at)).alias("begins"))
+
+    def of(found: Column) -> Column:
+        matches, begins = found["matches"], found["begins"]["begins"]
 
-    found = F.transform(matches, at)
+        def at(match: Column, i: Column) -> Column:
+            own = F.array(*(F.nullif(F.regexp_extract(match, p, g), F.lit("")) for g in range(1, groups + 1))).cast("array<string>")
+            return F.struct(match.alias("match"), own.alias("groups"), F.get(begins, i).alias("position"))
+
+        return F.transform(matches, at)
+
+    def measured(found: Column) -> Column:
+        sizes = F.transform(found["matches"], lambda m, i: F.struct(F.length(F.get(found["pieces"], i)).alias("gap"), F.length(m).alias("own")))
+        none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("begins"))
+        begins = F.aggregate(sizes, none, lambda so_far, x: begin(so_far, x["gap"], x["own"]))
+        return let(F.struct(found["matches"].alias("matches"), begins.alias("begins")), of)
+
+    matches = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    found = let(F.struct(matches.alias("matches"), F.split(text, p, -1).alias("pieces")), measured)
     none = F.array().cast("array<struct<match:string,groups:array<string>,position:int>>")
     return F.when(text.rlike(p), found).otherwise(F.when(text.isNotNull(), none))
 

@@ -29,34 +29,45 @@ def with_digits_only(text: Column, found: Column, kind: str) -> Column:
 
 
 def dates(text: Column) -> Column:
-    """array<struct<date_str, match_groups, position, context>>, pattern by pattern; a date two patterns match comes twice."""
-    found = [
-        F.transform(
-            rx.hits(text, p, 3),
+    """array<struct<date_str, match_groups, position, context>>, pattern by pattern; a date two patterns match comes twice. The text
+    is worked out once, and patterns with names of months are searched only where one may begin."""
+
+    def found(text: Column, pattern: str) -> Column:
+        return F.transform(
+            rx.hits(text, pattern, 3),
             lambda h: F.struct(
                 h["match"].alias("date_str"), h["groups"].alias("match_groups"), h["position"].alias("position"),
                 context(text, h["position"]).alias("context"),
             ),
         )
-        for p in fixed.DATE_PATTERNS
-    ]
-    return with_digits_only(text, F.concat(*found), DATES)
+
+    def of(text: Column) -> Column:
+        named = rx.let(F.lower(text), lambda low: rx.contains_any(low, fixed.MONTH_STARTS))
+
+        def every(named: Column) -> Column:
+            return F.concat(*(
+                F.when(named, found(text, p)).otherwise(F.array().cast(DATES)) if "Feb" in p else found(text, p) for p in fixed.DATE_PATTERNS
+            ))
+
+        return with_digits_only(text, rx.let(named, every), DATES)
+
+    return rx.let(text, of)
 
 
 def numbers(text: Column) -> Column:
     """array<struct<match, value, numeric_value, position, context>>, pattern by pattern (case matters in currency names)."""
-    found = [
-        F.transform(
-            rx.hits(text, p, 1, case=True),
+
+    def found(text: Column, pattern: str) -> Column:
+        return F.transform(
+            rx.hits(text, pattern, 1, case=True),
             lambda h: F.struct(
                 h["match"].alias("match"), F.get(h["groups"], F.lit(0)).alias("value"),
                 F.regexp_replace(F.get(h["groups"], F.lit(0)), ",", "").cast("double").alias("numeric_value"),
                 h["position"].alias("position"), context(text, h["position"]).alias("context"),
             ),
         )
-        for p in fixed.NUMBER_PATTERNS
-    ]
-    return with_digits_only(text, F.concat(*found), NUMBERS)
+
+    return rx.let(text, lambda t: with_digits_only(t, F.concat(*(found(t, p) for p in fixed.NUMBER_PATTERNS)), NUMBERS))
 
 
 def plain_numbers(text: Column) -> Column:

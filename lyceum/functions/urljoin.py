@@ -6,11 +6,11 @@ authority has unbalanced brackets is none: null.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lyceum.functions.rx import let
+
 #: Schemes whose references can be relative; "" stands for no scheme.
 RELATIVE = ("", "ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss")
 #: Of these, the ones in which a semicolon without anything behind it is dropped.
@@ -18,11 +18,6 @@ WITH_PARAMS = ("", "ftp", "http", "imap", "https", "shttp", "mms", "prospero", "
 PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value worked out once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _cleaned(url: Column) -> Column:
     """Without line ends and tabs, and control characters and blanks before it."""
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
