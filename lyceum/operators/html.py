@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lyceum.functions import fixed
 from lyceum.functions import url as U
+from lyceum.functions.rx import let
 from lyceum.operators.markup import Node, Page, tree
 
 BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"))
@@ -253,10 +254,12 @@ def crawl_links(pages: DataFrame, key: str, base: str = "url", page: str = "page
 
 def file_links(pages: DataFrame, key: str, base: str = "url", page: str = "page") -> DataFrame:
     """(key, place, url, file_type, content_type) of links to files worth a download."""
-    each = each_of(pages, f"{page}.links", "link", key, base)
-    resolved = each.select(key, "place", U.joined(F.col(base), F.col("link.href")).alias("url"))
-    typed = resolved.withColumn("file_type", U.file_type(F.col("url"))).where(F.col("file_type").isin(fixed.FILE_TYPES))
-    return typed.withColumn("content_type", U.mime_type(F.col("file_type")))
+    def typed(link: Column) -> Column:  # before they become rows, as a condition on rows would resolve each once more
+        return let(U.joined(F.col(base), link["href"]), lambda u: F.struct(u.alias("url"), U.file_type(u).alias("file_type")))
+
+    each = each_of(pages, F.transform(f"{page}.links", typed), "link", key).select(key, "place", "link.*")
+    files = each.where(F.col("file_type").isin(fixed.FILE_TYPES))
+    return files.withColumn("content_type", U.mime_type(F.col("file_type")))
 
 
 def image_links(pages: DataFrame, key: str, base: str = "url", page: str = "page") -> DataFrame:
