@@ -31,40 +31,55 @@ def tables_of(blocks: Column) -> Column:
 def is_table(lines: Column) -> Column:
     """Whether lines look like a table: of the first five all have equally many spans, more than one, or some later line has
     most starts near those of the first. False below two lines; null if the first line is empty and counts differ."""
-    seen = F.slice(lines, 1, LOOKED_AT)
-    starts = F.transform(seen, lambda line: F.transform(line["spans"], lambda s: s["x"]))
-    counts = F.array_distinct(F.transform(starts, lambda x: F.size(x)))
-    regular = (F.size(counts) == 1) & (F.get(counts, F.lit(0)) > 1)
-    first = F.get(starts, F.lit(0))
 
-    def aligned(other: Column) -> Column:
-        near = F.zip_with(first, other, lambda a, b: F.coalesce(F.abs(a - b) < NEAR, F.lit(False)))
-        return F.size(F.filter(near, lambda x: x)) >= F.lit(ALIKE) * F.size(first)
+    def of(starts: Column) -> Column:
+        counts = F.array_distinct(F.transform(starts, lambda x: F.size(x)))
+        first = F.get(starts, F.lit(0))
 
-    later = F.exists(F.slice(starts, 2, LOOKED_AT), aligned)
-    undefined = (F.size(first) == 0) & ~regular
-    return F.when(F.size(lines) < 2, F.lit(False)).when(~undefined, regular | later)
+        def aligned(other: Column) -> Column:
+            near = F.zip_with(first, other, lambda a, b: F.coalesce(F.abs(a - b) < NEAR, F.lit(False)))
+            return F.size(F.filter(near, lambda x: x)) >= F.lit(ALIKE) * F.size(first)
+
+        later = F.exists(F.slice(starts, 2, LOOKED_AT), aligned)
+
+        def told(regular: Column) -> Column:
+            return F.when(~((F.size(first) == 0) & ~regular), regular | later)
+
+        return rx.let(counts, lambda c: told((F.size(c) == 1) & (F.get(c, F.lit(0)) > 1)))
+
+    def seen(lines: Column) -> Column:
+        starts = F.transform(F.slice(lines, 1, LOOKED_AT), lambda line: F.transform(line["spans"], lambda s: s["x"]))
+        return F.when(F.size(lines) < 2, F.lit(False)).otherwise(rx.let(starts, of))
+
+    return rx.let(lines, seen)
 
 
 def as_table(lines: Column) -> Column:
     """struct<headers, rows, raw_text>: the first line is the header if one of its spans has the header flag or its mean font
     size differs from the second line's by more than a point; else headers are blank. Blank rows are left out of rows."""
-    full = F.filter(lines, lambda line: F.size(line["spans"]) > 0)
-    cells = F.transform(full, lambda line: F.transform(line["spans"], lambda s: rx.stripped(s["text"])))
 
     def mean(line: Column) -> Column:
         total = F.aggregate(line["spans"], F.lit(0.0), lambda n, s: n + s["size"].cast("double"))
         return total / F.size(line["spans"])
 
-    first, second = F.get(full, F.lit(0)), F.get(full, F.lit(1))
-    flagged = F.exists(first["spans"], lambda s: s["flags"].bitwiseAND(F.lit(HEADER_FLAG)) > 0)
-    headed = (F.size(full) > 1) & (flagged | (F.abs(mean(first) - mean(second)) > FONT_STEP))
-    head = F.get(cells, F.lit(0))
-    headers = F.when(headed, head).otherwise(F.transform(head, lambda _: F.lit("")))
-    body = F.when(headed, F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
-    rows = F.filter(body, lambda row: F.exists(row, lambda c: c != ""))
-    text = F.array_join(F.transform(cells, lambda row: F.array_join(row, " | ")), "\n")
-    return F.when(F.size(full) > 0, F.struct(headers.alias("headers"), rows.alias("rows"), text.alias("raw_text")))
+    def headed(full: Column) -> Column:
+        first, second = F.get(full, F.lit(0)), F.get(full, F.lit(1))
+        flagged = F.exists(first["spans"], lambda s: s["flags"].bitwiseAND(F.lit(HEADER_FLAG)) > 0)
+        return (F.size(full) > 1) & (flagged | (F.abs(mean(first) - mean(second)) > FONT_STEP))
+
+    def read(table: Column) -> Column:
+        cells, head = table["cells"], F.get(table["cells"], F.lit(0))
+        headers = F.when(table["headed"], head).otherwise(F.transform(head, lambda _: F.lit("")))
+        body = F.when(table["headed"], F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
+        rows = F.filter(body, lambda row: F.exists(row, lambda c: c != ""))
+        text = F.array_join(F.transform(cells, lambda row: F.array_join(row, " | ")), "\n")
+        return F.struct(headers.alias("headers"), rows.alias("rows"), text.alias("raw_text"))
+
+    def of(full: Column) -> Column:
+        cells = F.transform(full, lambda line: F.transform(line["spans"], lambda s: rx.stripped(s["text"])))
+        return F.when(F.size(full) > 0, rx.let(F.struct(cells.alias("cells"), headed(full).alias("headed")), read))
+
+    return rx.let(F.filter(lines, lambda line: F.size(line["spans"]) > 0), of)
 
 
 def formatted(blocks: Column) -> Column:

@@ -211,3 +211,33 @@ def test_white_space_is_that_of_unicode(value):
         (hit,) = value(f"5{c}March{c}2024", X.dates)
         assert hit["position"] == 0
     assert value("a\u200bb", X.word_count) == 1
+
+
+def plan_of(spark, name):
+    from lyceum.catalog import QUERIES
+
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_worked_out_once_for_their_dates(spark):
+    assert plan_of(spark, "dates_context").count("date_format") == 1
+
+
+def test_many_dates_of_one_text(spark):
+    """Groups and places of each of many matches, after characters of more than one byte; names of months in any case."""
+    text = "é😀 " + "".join(f"{k % 28 + 1}/1/2024 mar 3rd, 1999 5th APRIL 2001;" for k in range(60))
+    (found,) = spark.createDataFrame([(text,)], "t string").select(X.dates(F.col("t"))).first()
+    assert len(found) == 180 and all(text[d["position"] :].startswith(d["date_str"]) for d in found)
+    assert [list(d["match_groups"]) for d in found if d["date_str"].startswith(("28/", "5th", "mar"))][::60] == [["28", "1", "2024"], ["5", "APRIL", "2001"], ["mar", "3", "1999"]]
+
+
+def test_layouts_are_worked_out_once(spark):
+    """The spans of an order stand in the condition and in the result, once each."""
+    for name in ("pdf_table_geom", "pdf_table_by_size"):
+        assert plan_of(spark, name).count("[Quantity,") + plan_of(spark, name).count("(text, Quantity") <= 2, name
+
+
+def test_file_links_are_resolved_before_they_are_rows(spark):
+    """A condition on resolved links would resolve each of them a second time."""
+    kept = [line for line in plan_of(spark, "page_file_links").splitlines() if "Filter" in line]
+    assert kept and not any("RLIKE" in line or "regexp" in line for line in kept)
