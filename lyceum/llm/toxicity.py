@@ -18,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,7 @@ class WordTerms(dict):
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, ascending, and how often they occur."""
-        found = [n for word, times in Counter(words_of(text)).items() for n in self[word] * times]
+        found = list(chain.from_iterable(map(self.__getitem__, words_of(text))))
         return np.unique(np.array(found, np.int64), return_counts=True)
 
 
@@ -252,7 +253,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
             found: list[int] = []
             for text in batch.column("text").to_pylist():
                 n += 1
-                found += {t for word in set(words_of(text)) for t in lookup[word]}
+                found += set(chain.from_iterable(map(lookup.__getitem__, set(words_of(text)))))
             sums += np.bincount(np.array(found, np.int64), minlength=len(sums))
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([n, *sums[some]], pa.int64())], ["term", "n"])

@@ -88,3 +88,10 @@ def test_without_labels_or_documents(spark, corpus):
     assert toxicity.toxicity_digest(docs.where("doc_id < 0"), labels).count() == 0
     clash = docs.selectExpr("*", "1 as score", "2 as toxic", "3 as term")
     assert toxicity.toxicity_digest(clash, labels).count() == docs.count()
+
+
+def test_terms_are_counted_as_word_by_word():
+    lookup = toxicity.WordTerms({"storm": 0, "stor*": 1, "sea": 2, "storm*": 3})
+    terms, counts = lookup.counts("Storm, storms; SEA sea storm")
+    assert (terms.tolist(), counts.tolist()) == ([0, 1, 2, 3], [2, 3, 2, 3])
+    assert [len(c) for c in lookup.counts("")] == [0, 0]
